@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes that one Arrow batch hands to Python at most.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
 #: Prefix of the columns that operators add to tables whose other columns they keep.
 OWN = "__tf_"
 
