@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_quality, mixing, nbsvm, ngram_join, sharding
+from . import decontaminate, html_extract, line_quality, mixing, nbsvm, ngram_join, sharding, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(read(spark, sf_dir, "pages"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 def op3_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"))
 
