@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and the SQL that gives its rows."""
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from . import file_queries, photo_queries, video_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
