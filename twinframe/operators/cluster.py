@@ -25,19 +25,18 @@ def leader_clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     item whose earlier neighbours are settled, so rounds follow the longest chain of
     undecided neighbours and no folder needs to fit one task.
     """
-    state = written(edges, "edges")
-    leaders = None
-    while True:
-        # nodes that no undecided earlier neighbour can cover lead
-        low, high = state.select("folder", F.col("low").alias("rank")).distinct(), state.select("folder", F.col("high").alias("rank")).distinct()
-        new = written(low.join(high, ["folder", "rank"], "left_anti"), "leaders")
-        if not new.take(1):
-            break
+    state = written(edges.select("folder", "low", "high"), "edges")
+    ends = lambda c, name="rank": state.select("folder", F.col(c).alias(name))
+    open_nodes, leaders = written(ends("low").union(ends("high")).distinct(), "open"), None
+    while open_nodes.take(1):
+        # nodes without an undecided earlier neighbour lead, and cover their later neighbours
+        new = written(open_nodes.join(ends("high"), ["folder", "rank"], "left_anti"), "leaders")
         leaders = new if leaders is None else leaders.union(new)
-        covered = state.join(new.select("folder", F.col("rank").alias("low")), ["folder", "low"], "left_semi").select("folder", F.col("high").alias("rank")).distinct()
-        gone = written(new.union(covered), "settled")
-        state = state.join(gone.withColumnRenamed("rank", "low"), ["folder", "low"], "left_anti").join(gone.withColumnRenamed("rank", "high"), ["folder", "high"], "left_anti")
-        state = written(state.select("folder", "low", "high"), "edges")
+        covered = state.join(new.withColumnRenamed("rank", "low"), ["folder", "low"], "left_semi").select("folder", F.col("high").alias("rank"))
+        open_nodes = written(open_nodes.join(new.union(covered), ["folder", "rank"], "left_anti"), "open")
+        for c in ("low", "high"):
+            state = state.join(open_nodes.withColumnRenamed("rank", c), ["folder", c], "left_semi").select("folder", "low", "high")
+        state = written(state, "edges")
     if leaders is None:
         return ranks.select("folder", "rank", F.col("rank").alias("leader")).limit(0)
     both = edges.select("folder", "low", "high").union(edges.select("folder", F.col("high").alias("low"), F.col("low").alias("high")))

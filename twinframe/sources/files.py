@@ -33,5 +33,5 @@ def folder_last_change(files: DataFrame) -> DataFrame:
 def cached_json(spark: SparkSession, path: str) -> DataFrame:
     """Cached items from JSON; unsigned 64-bit hashes become signed bit patterns."""
     raw = spark.read.option("multiLine", "true").schema("FullPath string, Kind int, SizeBytes long, Sha256 string, OrientationHashes array<decimal(20,0)>").json(path)
-    signed = lambda h: F.when(h >= F.lit(2**63).cast("decimal(20,0)"), h - F.lit(2**64).cast("decimal(20,0)")).otherwise(h).cast("long")
+    signed = lambda h: F.when(h >= F.lit(str(2**63)).cast("decimal(20,0)"), h - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(h).cast("long")
     return raw.select(F.col("FullPath").alias("full_path"), F.when(F.col("Kind") == 1, "video").otherwise("photo").alias("kind"), F.col("SizeBytes").alias("size_bytes"), F.col("Sha256").alias("sha256"), F.transform("OrientationHashes", signed).alias("orientation_hashes"))
