@@ -57,13 +57,14 @@ def fixture(seed, n_near=60):
     return docs + docs[:3] + [(None, "null id text here now"), (None, docs[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "short", "frequent"), [(1, 32, 64), (2, 4, 5), (3, 1, 2)])
+@pytest.mark.parametrize(("seed", "short", "frequent"), [(1, 8, 16), (3, 1, 2)])
 def test_like_brute_force(spark, monkeypatch, seed, short, frequent):
     monkeypatch.setattr(j, "FREQUENT", frequent)
     docs = fixture(seed)
     key = lambda r: tuple(map(str, r))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(j, "SHORT_LIST", short)
+    monkeypatch.setattr(j, "GROUP_ROWS", 8 * short)
     got = j.digest(frame).collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute(docs), key=key)
 

@@ -279,3 +279,27 @@ def digest(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUNK_WORDS
         F.sha2(F.array_join(f"{OWN}items", ","), 256).alias("items_sha256"),
         ((n_hit() > 0) & (20 * n_hit() >= F.col(f"{OWN}n_words"))).alias("contaminated"),
     )
+
+
+ORACLE_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM (SELECT *, least(13, len(w)) AS k FROM item WHERE len(w) > 0))
+), doc_window AS (
+  SELECT doc_id, a, k, array_to_string(w[a:a + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM plain, (SELECT DISTINCT k FROM item_window) WHERE len(w) >= k)
+), found AS (
+  SELECT d.doc_id, d.a, d.k, i.item_id FROM doc_window d JOIN item_window i ON i.k = d.k AND i.s = d.s
+), hit AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, a + unnest(range(k)) AS p FROM found) GROUP BY doc_id
+), who AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+)
+SELECT p.doc_id, len(p.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(p.w) AS contaminated
+FROM plain p LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)
+"""

@@ -57,4 +57,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    }
