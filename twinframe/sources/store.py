@@ -13,12 +13,16 @@ from ..functions import scalars as fn
 SCHEMA_VERSION = 2
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="twinframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="twinframe-"))
+        named = _own_folder[0]
     return named
 
 
