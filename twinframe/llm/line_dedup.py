@@ -134,7 +134,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per_doc = gone.groupBy(*_KEY).agg(F.collect_set("pos").alias("pos"), F.sum("w").cast("long").alias("words"))
     per_doc = stash(per_doc.select(F.col("d").alias(f"{OWN}d"), F.col("h").alias(f"{OWN}h"), F.col("pos").alias(f"{OWN}pos"), F.col("words").alias(f"{OWN}words")), "line-removed")
     d, h = _key()
-    rows = docs.withColumns({f"{OWN}d": d, f"{OWN}h": h}).join(per_doc, [f"{OWN}d", f"{OWN}h"], "left")
+    # what was removed grows with the documents: a merge join at every size, never a broadcast
+    rows = docs.withColumns({f"{OWN}d": d, f"{OWN}h": h}).join(per_doc.hint("merge"), [f"{OWN}d", f"{OWN}h"], "left")
     parts, pos = F.split(F.col("text").cast("string"), "\n", -1), F.col(f"{OWN}pos")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(pos, i)), "\n")
     count = F.coalesce(F.size(parts), F.lit(0))
