@@ -7,6 +7,7 @@ the shared checkpoint folder, and gapless numbering without a hot partition.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,9 @@ def lower_space_words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
+_own_folder: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,8 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
     if not named:
-        named = tempfile.mkdtemp(prefix="twinframe-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="twinframe-checkpoint-"))
+        named = _own_folder[0]
     return named
 
 
@@ -70,6 +75,9 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stashed.append((spark, path))
+    # shuffle files of what was just written go once the driver's JVM sees that nothing refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,14 +13,19 @@ lines and passages hardly ever select pairs. It only has to be one order; how ex
 the frequent columns were found changes the work and never the result.
 
 Columns whose list is long even so belong to large groups of near copies. There, pairs
-are not enumerated: each list links its rows to its most typical row (one pair per row),
-those pairs are checked, and components are formed. Lists whose rows all lie in one
-component by then hold nothing new for the components. In the other lists, every row
-outside the list's main component meets every row of another component, and those pairs
-are checked too. No link between rows of different components stays unchecked, so the
+are not enumerated: each list pairs its rows with its most typical row (one pair per row).
+Pairs are first compared by short vectors, the row's first columns, of which linking rows
+share a known number; what is left of the typical pairs is counted exactly, with each row's
+pair that shares most, and components are formed. Rows whose long lists have one typical row
+form a group, so rows that meet in a long list share a group. Groups that are one component
+by then hold nothing new. The others are cut into blocks of rows. For each two blocks the
+product of their short vectors leaves the rows that may link to another component, and the product
+of those rows' sets gives all their overlaps at once; of the links, those that span the
+block's components are returned, so output stays linear. Other pairs are counted where their rows
+still lie apart. No link between rows of different components stays unchecked, so the
 components are exact; only links inside a component may stay uncounted.
 
-Scale: texts are read three times and never shuffled; what is shuffled are about 15 %
+Scale: texts are read several times and never shuffled; what is shuffled are about 15 %
 of the shingles, once, and the sets of rows that have candidates. Frequent columns go
 to Python as a table of at most TOP_COLUMNS rows, needed rows as a filter of fixed size.
 
@@ -36,25 +41,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lower_space_words, stash, text_frame
+from .common import bounded_batches, stash, text_frame
 from .components import components
 
 WIDTH, PERCENT = 4, 85
 #: A column seen so often within one task's share counts as a candidate for a frequent column.
-LOCAL_COUNT, FREQUENT, TOP_COLUMNS = 3, 64, 65_536
+LOCAL_COUNT, FREQUENT, TOP_COLUMNS = 2, 16, 131_072
 #: Lists up to this length give all their pairs; longer ones go by typical rows and components.
-SHORT_LIST = 32
+SHORT_LIST = 8
 #: Entries of the matrix in one block.
 BLOCK_ROWS = 250_000
+#: Vectors compared before whole sets hold (1 + HEAD_PARTS) times the slack n - needed.
+HEAD_PARTS = 1
+#: Rows of one block when all rows that met in long lists are compared.
+GROUP_ROWS = 1024
 #: Bits of the filter that tells which rows have candidates.
 FILTER_BITS = 22
 
 _MULTIPLY = tuple(np.uint64(int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big") | 1) for k in range(64))
-_WORDS_KEPT = 400_000
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Bytes of texts whose words are hashed together.
+_PIECE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,32 +76,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingle hashes of a text, rising."""
+    """Distinct shingle hashes of texts, rising.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken for all words of a
+    piece at once from running sums: the base is odd, so its powers can be divided out.
+    """
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = lower_space_words(text or b"")
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            ids = [known[w] for w in words]
-        except KeyError:
-            if len(known) > _WORDS_KEPT:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            ids = [known[w] for w in words]
-        h = np.array(ids, np.uint64)
-        width = min(self.width, len(h))
-        n = len(h) - width + 1
+        self.width = width
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            base = int(_MULTIPLY[60])
+            n = max(n, _PIECE)
+            steps = np.repeat(np.array([[base], [pow(base, -1, 2**64)]], np.uint64), n, axis=1)
+            steps[:, 0] = 1
+            self.powers, self.inverse = np.cumprod(steps, axis=1)
+
+    def batch(self, column: pa.Array):
+        """The set of each text of a string column, in order; null texts have the empty set."""
+        column = column.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _PIECE, side="right")) - 1)
+            last = min(last, len(column))
+            yield from self._piece(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+
+    def _piece(self, data: np.ndarray, bounds: np.ndarray):
+        none = np.empty(0, np.uint64)
+        if not len(data):
+            yield from (none for _ in bounds[1:])
+            return
+        self._reach(len(data) + 1)
+        data = _LOWER[data]
+        space = _SPACE[data]
+        before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        before[bounds[bounds < len(data)]] = True
+        after[bounds[bounds > 0] - 1] = True
+        start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
+        words = _mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _MULTIPLY[61])
+        at = np.searchsorted(start, bounds)
+        full = self._combine(words, self.width) if len(words) >= self.width else none
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = b - a
+            if n < self.width:
+                yield self._combine(words[a:b], n) if n else none
+                continue
+            got = np.sort(full[a : b - self.width + 1])
+            fresh = got[1:] != got[:-1]
+            yield got if fresh.all() else got[np.r_[True, fresh]]
+
+    @staticmethod
+    def _combine(words: np.ndarray, width: int) -> np.ndarray:
+        n = len(words) - width + 1
         out = np.full(n, width, np.uint64)
         for k in range(width):
-            out = out * _MULTIPLY[k] + h[k : k + n]
-        return np.unique(_mix(out))
+            out = out * _MULTIPLY[k] + words[k : k + n]
+        return _mix(out)
 
 
 def set_id(tokens: np.ndarray) -> tuple[int, int]:
@@ -135,8 +184,7 @@ def _rows_and_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         for batch in batches:
             out = {"n": [], "row": [], "row2": []}
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                tokens = shingles(text)
+            for tokens in shingles.batch(batch.column(1)):
                 n, name = len(tokens), set_id(tokens)
                 out["n"].append(n)
                 out["row"].append(name[0])
@@ -157,6 +205,17 @@ def _rows_and_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, row long, row2 long, column long, seen long")
 
 
+def _in_order(tokens: np.ndarray, columns: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Tokens in the order of columns, which of them are frequent, and how typical the row is."""
+    if len(columns):
+        at = np.minimum(np.searchsorted(columns, tokens), len(columns) - 1)
+        many = columns[at] == tokens
+        if many.any():
+            counts = np.where(many, seen[at], 0)
+            return tokens[np.lexsort((tokens, counts))], np.sort(many), min(int(counts.sum() // len(tokens)), 2**31 - 1)
+    return tokens, None, 0
+
+
 _ENTRIES = pa.schema([("column", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("typical", pa.int32()), ("frequent", pa.bool_())])
 
 
@@ -168,26 +227,15 @@ def _entries(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
         shingles, sets = Shingler(width), set()
         for batch in batches:
             parts = []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                tokens = shingles(text)
+            for tokens in shingles.batch(batch.column(0)):
                 n = len(tokens)
                 if not n or (name := set_id(tokens)) in sets:
                     continue
                 sets.add(name)
-                many, typical = None, 0
                 first = n - needed(n, percent) + 1
-                if len(columns):
-                    at = np.minimum(np.searchsorted(columns, tokens), len(columns) - 1)
-                    many = columns[at] == tokens
-                    if many.any():
-                        counts = np.where(many, seen[at], 0)
-                        typical = min(int(counts.sum() // n), 2**31 - 1)
-                        tokens = tokens[np.lexsort((tokens, counts))]
-                        many = np.sort(many)[:first]
-                    else:
-                        many = None
+                tokens, many, typical = _in_order(tokens, columns, seen)
                 take = tokens[:first]
-                parts.append((take, name[0], n, typical, np.zeros(len(take), bool) if many is None else many))
+                parts.append((take, name[0], n, typical, np.zeros(len(take), bool) if many is None else many[:first]))
             if len(sets) > 1_000_000:
                 sets.clear()
             if parts:
@@ -258,16 +306,20 @@ def _block_product(percent: int, short_list: int):
     return run
 
 
-def _sets(docs: DataFrame, wanted, width: int) -> DataFrame:
-    """The shingle sets of rows that pass the filter; once for each set and task."""
+def _vectors(docs: DataFrame, wanted: DataFrame, frequent, width: int, percent: int, head: bool) -> DataFrame:
+    """(row, row2, tokens) of the wanted rows: their sets, or, for head, the first HEAD_PARTS parts of their slack in column order, 32 bits each."""
+    bit = F.col("row").bitwiseAND(2**FILTER_BITS - 1).cast("int")
+    bits = np.zeros(2**FILTER_BITS, bool)
+    bits[wanted.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        bits = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).astype(bool)
+        columns, seen = frequent.value
         shingles, sets = Shingler(width), set()
         for batch in batches:
             rows, rows2, values = [], [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                tokens = shingles(text)
+            for tokens in shingles.batch(batch.column(0)):
                 if not len(tokens):
                     continue
                 row, row2 = set_id(tokens)
@@ -275,38 +327,123 @@ def _sets(docs: DataFrame, wanted, width: int) -> DataFrame:
                     sets.add((row, row2))
                     rows.append(row)
                     rows2.append(row2)
-                    values.append(tokens.tobytes())
+                    if head:
+                        n = len(tokens)
+                        first = _in_order(tokens, columns, seen)[0][: n - needed(n, percent) + _guaranteed(n, percent)]
+                        values.append(np.array([n], np.uint32).tobytes() + np.sort((first >> np.uint64(32)).astype(np.uint32)).tobytes())
+                    else:
+                        values.append(tokens.tobytes())
             if len(sets) > 1_000_000:
                 sets.clear()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(rows2, pa.int64()), pa.array(values, pa.binary())], ["row", "row2", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "row long, row2 long, tokens binary").groupBy("row").agg(F.min_by("tokens", "row2").alias("tokens"))
+    found = docs.select("text").mapInArrow(run, "row long, row2 long, tokens binary")
+    return found.join(wanted.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min_by("tokens", "row2").alias("tokens"))
+
+
+def _guaranteed(n, percent):
+    """Entries that two linking rows share among the first n - needed + guaranteed of each, at least."""
+    return 1 + HEAD_PARTS * (n - needed(n, percent))
+
+
+def _common(short: np.ndarray, long: np.ndarray) -> int:
+    """Equal entries of two rising arrays, repeats counted as often as short has them."""
+    if not len(short) or not len(long):
+        return 0
+    at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+    return int((long[at] == short).sum())
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link, by exact count."""
+def _compare(pairs: DataFrame, vectors: DataFrame, percent: int, head: bool) -> DataFrame:
+    """Those of the pairs (a, b) whose vectors pass, with the entries in common: for head those that can link, else those that do."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ok, last, value = [], None, None
+            ok, shared, last, value = [], [], None, None
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x = x.as_buffer()
                 if last is None or not x.equals(last):
-                    last, value = x, np.frombuffer(x, np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (value, other) if len(value) < len(other) else (other, value)
-                if 100 * len(short) < percent * len(long):
-                    ok.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                ok.append(bool(reaches(int((long[at] == short).sum()), len(short), len(long), percent)))
-            ok = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+                    last, value = x, np.frombuffer(x, np.uint32 if head else np.uint64)
+                other = np.frombuffer(y.as_buffer(), np.uint32 if head else np.uint64)
+                if head:
+                    n, m = int(value[0]), int(other[0])
+                    k = max(_common(value[1:], other[1:]), _common(other[1:], value[1:]))
+                    ok.append(100 * min(n, m) >= percent * max(n, m) and k >= _guaranteed(min(n, m), percent))
+                else:
+                    n, m = len(value), len(other)
+                    k = _common(value, other) if n < m else _common(other, value)
+                    ok.append(bool(reaches(k, n, m, percent)))
+                shared.append(100 * k // min(n, m))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32())], ["a", "b", "shared"]).filter(ok)
+
+    one = pairs.select("a", "b").join(vectors.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = one.join(vectors.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a long, b long, shared int")
+
+
+def _overlaps(vectors: list[np.ndarray]) -> np.ndarray:
+    """Entries in common of all pairs: the product of the incidence rows with their transpose, column block by column block."""
+    owner = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+    columns, at = np.unique(np.concatenate(vectors), return_inverse=True)
+    shared = np.flatnonzero(np.bincount(at, minlength=len(columns)) > 1)
+    place = np.full(len(columns), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[at]
+    overlap = np.zeros((len(vectors), len(vectors)), np.float32)
+    for low in range(0, len(shared), 2048):
+        mine = (at >= low) & (at < low + 2048)
+        part = np.zeros((len(vectors), min(2048, len(shared) - low)), np.float32)
+        part[owner[mine], at[mine] - low] = 1
+        overlap += part @ part.T
+    return overlap
+
+
+def _group_live(percent: int):
+    """Rows of a block pair that may link to a row of another component, by their short vectors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heads = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
+        n = np.array([h[0] for h in heads], np.int64)
+        vectors = [np.unique(h[1:]) for h in heads]
+        lost = np.array([len(h) - 1 - len(v) for h, v in zip(heads, vectors, strict=True)])
+        component = table.column("component").to_numpy()
+        least = np.minimum(n[:, None], n[None, :])
+        may = _overlaps(vectors) >= _guaranteed(least, percent) - lost[:, None] - lost[None, :]
+        may &= (100 * least >= percent * np.maximum(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
+        return table.select(["head", "x", "y", "row"]).filter(pa.array(may.any(axis=1)))
+
+    return run
+
+
+def _group_forest(percent: int):
+    """Links that span the components of a block pair's rows, by a product of their incidence rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.column("row").to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        n = np.array([len(t) for t in sets], np.int64)
+        overlap = _overlaps(sets)
+        linked = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+        a, b, left = [], [], np.ones(len(rows), bool)
+        for seed in range(len(rows)):  # each row once
+            if not left[seed]:
+                continue
+            left[seed], queue = False, [seed]
+            while queue:
+                i = queue.pop()
+                new = np.flatnonzero(linked[i] & left)
+                left[new] = False
+                a += [rows[i]] * len(new)
+                b += rows[new].tolist()
+                queue += new.tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
-    one = pairs.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = one.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+
+def _rows_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("row"))
 
 
 def _size_ok(a: str, b: str, percent: int):
@@ -337,32 +474,41 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     blocked = entries.repartition(blocks, F.when(F.col("frequent"), F.col("row")).otherwise(F.col("column")))
     found = stash(blocked.mapInArrow(_block_product(percent, SHORT_LIST), "a long, b long, column long, row long, n int, place int, typical int"), "ngram-blocks")
 
-    pairs = _ordered(found.where("a IS NOT NULL"))
     entry = found.where("a IS NULL").select("column", "row", "n", "place", "typical")
     top = entry.groupBy("column").agg(F.max(F.struct("typical", "row", "n")).alias("top"))
-    star = _ordered(entry.join(top, "column").where(_size_ok("n", "top.n", percent)).select(F.col("top.row").alias("a"), F.col("row").alias("b")))
-    pairs = stash(pairs.union(star).distinct(), "ngram-pairs")
-
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(entry.select("row")).select(F.col("row").bitwiseAND(2**FILTER_BITS - 1).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
-    bits = np.zeros(2**FILTER_BITS, bool)
-    bits[wanted] = True
-    sets = stash(_sets(docs, broadcast(np.packbits(bits).tobytes()), width), "ngram-sets")
-    links = stash(_linked(pairs, sets, percent), "ngram-links")
+    star = entry.join(top, "column").where(_size_ok("n", "top.n", percent)).select(F.col("top.row").alias("a"), F.col("row").alias("b"))
+    star = stash(_ordered(star), "ngram-star")
+    met = stash(_ordered(found.where("a IS NOT NULL").select("a", "b").union(star)), "ngram-met")
+    vectors = lambda of, head: stash(_vectors(docs, of, frequent, width, percent, head), "ngram-vectors")
+    pairs = stash(_compare(met, vectors(_rows_of(met), True), percent, True), "ngram-pairs")
+
+    # each row against its lists' most typical rows and the row it shares most with: that settles most components
+    best = pairs.select(F.col("a").alias("row"), F.col("b").alias("to"), "shared").union(pairs.select("b", "a", "shared")).groupBy("row").agg(F.max(F.struct("shared", F.negate("to").alias("less"))).alias("m"))
+    nearest = _ordered(best.select(F.col("row").alias("a"), F.negate("m.less").alias("b")))
+    first_pairs = stash(nearest.union(pairs.select("a", "b").join(star, ["a", "b"], "left_semi")).distinct(), "ngram-first")
+    links = stash(_compare(first_pairs, vectors(_rows_of(first_pairs), False), percent, False).select("a", "b"), "ngram-links")
     parts = components(links)
 
-    placed = entry.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    per_list = placed.groupBy("column", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per_list.groupBy("column").agg(F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("column", F.col("main.component").alias("main"))
-    members = stash(placed.join(mixed, "column"), "ngram-mixed")
-    if members.take(1):
-        side = lambda p: members.select("column", *(F.col(c).alias(p + c) for c in ("row", "n", "place", "component", "main")))
-        x, y = side("x_").where("x_component <> x_main"), side("y_")
-        rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")).cast("long")
-        # of two rows outside the main component, the one with the lesser component asks
-        asks = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_component") < F.col("y_component")))
-        met = x.join(y, (x["column"] == y["column"]) & asks & reaches(rest, F.col("x_n"), F.col("y_n"), percent))
-        more = _ordered(met.select(F.col("x_row").alias("a"), F.col("y_row").alias("b"))).join(pairs, ["a", "b"], "left_anti")
-        late = stash(_linked(more, sets, percent), "ngram-links")
+    apart = pairs.select("a", "b").join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where(~(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).select("a", "b").join(first_pairs, ["a", "b"], "left_anti")
+    # rows that met in long lists: all that a typical row gathers, where they aren't one component yet
+    member = entry.join(top, "column").select(F.col("top.row").alias("head"), "row").distinct()
+    placed = member.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    blocks_of = F.ceil(F.col("size") / GROUP_ROWS).cast("int")
+    mixed = placed.join(mixed.select("head", blocks_of.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    meeting = mixed.select("head", "row", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meeting = stash(meeting.select("head", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "row", "component"), "ngram-groups")
+    heads = vectors(meeting.select("row").distinct(), True)
+    meeting = stash(meeting.join(heads, "row").groupBy("head", "x", "y").applyInArrow(_group_live(percent), "head long, x int, y int, row long"), "ngram-live")
+    if meeting.take(1):
+        sets = vectors(meeting.select("row").distinct(), False)
+        forests = meeting.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_forest(percent), "a long, b long")
+        links = stash(links.union(_ordered(forests)), "ngram-links")
+        parts = components(links)
+        apart = pairs.select("a", "b").join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where(~(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).select("a", "b").join(first_pairs, ["a", "b"], "left_anti")
+    apart = stash(apart, "ngram-apart")
+    if apart.take(1):
+        late = stash(_compare(apart, vectors(_rows_of(apart), False), percent, False).select("a", "b"), "ngram-links")
         if late.take(1):
             parts = components(links.union(late))
 
@@ -387,3 +533,25 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
 def digest(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[a:a + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM (SELECT *, least(4, len(w)) AS k FROM word WHERE len(w) > 0))
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), overlap AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), link AS (
+  SELECT a, b FROM overlap JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)
+), both_ways AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
+FROM word w LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+"""
