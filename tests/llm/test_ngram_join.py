@@ -87,3 +87,26 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == ["doc_id", "text", "row"]
     assert sorted(r.doc_id for r in got.collect()) == [3, 9, 10, 11]
     assert j.digest(spark.createDataFrame(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("short", "frequent", "group_rows"), [(8, 16, 64), (1, 2, 8)])
+def test_every_link_is_counted(spark, monkeypatch, short, frequent, group_rows):
+    for name, value in (("SHORT_LIST", short), ("FREQUENT", frequent), ("GROUP_ROWS", group_rows)):
+        monkeypatch.setattr(j, name, value)
+    docs = [(d, t) for d, t in fixture(5) if d is not None]
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        s = frozenset(tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))) if w else frozenset({d})
+        sets.setdefault(s, set()).add(d)
+    least = {s: min(ids) for s, ids in sets.items()}
+    pairs = {(min(least[x], least[y]), max(least[x], least[y]), len(x & y)) for x in sets for y in sets if x != y and 100 * len(x & y) >= 85 * len(x | y)}
+    linked = [x for a, b, _ in pairs for x in (a, b)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert len(pairs) > 1.5 * len(set(linked))  # not just a forest
+    found = [tuple(r) for r in j.link_pairs(frame).collect()]
+    assert sorted(found) == sorted(pairs)
+    got = j.jaccard_links(frame).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(d, least[s], linked.count(least[s])) for s, ids in sets.items() for d in ids}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(map(tuple, j.digest(frame).collect()))
+    assert j.jaccard_links(frame.limit(0)).count() == 0 and j.link_pairs(frame.limit(0)).count() == 0

@@ -23,7 +23,11 @@ product of their short vectors leaves the rows that may link to another componen
 of those rows' sets gives all their overlaps at once; of the links, those that span the
 block's components are returned, so output stays linear. Other pairs are counted where their rows
 still lie apart. No link between rows of different components stays unchecked, so the
-components are exact; only links inside a component may stay uncounted.
+components are exact; only links inside a component may stay uncounted there.
+
+`jaccard_links` and `link_pairs` count every link: pairs from short lists that no long list
+gathers are counted one by one, and all groups go through the block products, of which each
+pair of rows is taken in one group and one block pair only.
 
 Scale: texts are read several times and never shuffled; what is shuffled are about 15 %
 of the shingles, once, and the sets of rows that have candidates. Frequent columns go
@@ -58,6 +62,8 @@ BLOCK_ROWS = 250_000
 HEAD_PARTS = 1
 #: Rows of one block when all rows that met in long lists are compared.
 GROUP_ROWS = 1024
+#: Entries of one block when all links are counted.
+GROUP_ENTRIES = 4_000_000
 #: Bits of the filter that tells which rows have candidates.
 FILTER_BITS = 22
 
@@ -359,7 +365,7 @@ def _compare(pairs: DataFrame, vectors: DataFrame, percent: int, head: bool) ->
 
     def run(batches):
         for batch in batches:
-            ok, shared, last, value = [], [], None, None
+            ok, shared, common, last, value = [], [], [], None, None
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x = x.as_buffer()
                 if last is None or not x.equals(last):
@@ -374,12 +380,13 @@ def _compare(pairs: DataFrame, vectors: DataFrame, percent: int, head: bool) ->
                     k = _common(value, other) if n < m else _common(other, value)
                     ok.append(bool(reaches(k, n, m, percent)))
                 shared.append(100 * k // min(n, m))
+                common.append(k)
             ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32())], ["a", "b", "shared"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(common, pa.int64())], ["a", "b", "shared", "overlap"]).filter(ok)
 
     one = pairs.select("a", "b").join(vectors.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
     both = one.join(vectors.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, shared int")
+    return both.mapInArrow(run, "a long, b long, shared int, overlap long")
 
 
 def _overlaps(vectors: list[np.ndarray]) -> np.ndarray:
@@ -442,6 +449,65 @@ def _group_forest(percent: int):
     return run
 
 
+def _counted_here(table: pa.Table) -> np.ndarray:
+    """Which pairs of a block pair's rows are counted there: those that no lesser head gathers and no other block pair has."""
+    head, x, y = (table.column(c)[0].as_py() for c in ("head", "x", "y"))
+    block = table.column("block").to_numpy()
+    lesser = [np.array([h for h in heads if h < head], np.int64) for heads in table.column("heads").to_pylist()]
+    here = _overlaps(lesser) == 0
+    if x != y:
+        here &= block[:, None] != block[None, :]
+    np.fill_diagonal(here, False)
+    return here
+
+
+def _group_candidates(percent: int):
+    """Rows of a block pair that may link to any row there, by their short vectors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heads = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
+        n = np.array([h[0] for h in heads], np.int64)
+        vectors = [np.unique(h[1:]) for h in heads]
+        lost = np.array([len(h) - 1 - len(v) for h, v in zip(heads, vectors, strict=True)])
+        least = np.minimum(n[:, None], n[None, :])
+        may = _overlaps(vectors) >= _guaranteed(least, percent) - lost[:, None] - lost[None, :]
+        may &= (100 * least >= percent * np.maximum(n[:, None], n[None, :])) & _counted_here(table)
+        return table.select(["head", "x", "y", "block", "row", "heads"]).filter(pa.array(may.any(axis=1)))
+
+    return run
+
+
+def _group_links(percent: int, listed: bool):
+    """All links of a block pair's rows: listed with their overlaps, or counted for each row with links that span their components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.column("row").to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        n = np.array([len(t) for t in sets], np.int64)
+        overlap = _overlaps(sets)
+        linked = (100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)) & _counted_here(table)
+        if listed:
+            i, j = np.nonzero(np.triu(linked))
+            return pa.table({"a": rows[i], "b": rows[j], "many": overlap[i, j].astype(np.int64)})
+        a, b, left = [], [], np.ones(len(rows), bool)
+        for seed in range(len(rows)):
+            if not left[seed]:
+                continue
+            left[seed], queue = False, [seed]
+            while queue:
+                i = queue.pop()
+                new = np.flatnonzero(linked[i] & left)
+                left[new] = False
+                a += [rows[i]] * len(new)
+                b += rows[new].tolist()
+                queue += new.tolist()
+        counts = linked.sum(axis=1)
+        some = np.flatnonzero(counts)
+        return pa.table({"a": pa.array(a + rows[some].tolist(), pa.int64()), "b": pa.array(b + [None] * len(some), pa.int64()), "many": pa.array([None] * len(a) + counts[some].tolist(), pa.int64())})
+
+    return run
+
+
 def _rows_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("row"))
 
@@ -454,8 +520,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+def _candidates(docs: DataFrame, width: int, percent: int):
+    """What both the components and the links start from: a row per document, entries of long lists with their heads, pairs that may link, and vectors by rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = text_frame(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -481,7 +547,74 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     met = stash(_ordered(found.where("a IS NOT NULL").select("a", "b").union(star)), "ngram-met")
     vectors = lambda of, head: stash(_vectors(docs, of, frequent, width, percent, head), "ngram-vectors")
     pairs = stash(_compare(met, vectors(_rows_of(met), True), percent, True), "ngram-pairs")
+    return rows, entry, top, star, pairs, vectors
+
+
+def _named(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(row, row2, least, component, component_id) of each distinct set: its least doc_id and its component."""
+    classes = rows.where("n > 0").groupBy("row", "row2").agg(F.min("doc_id").alias("least"))
+    named = classes.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    return named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+
 
+def _links(docs: DataFrame, width: int, percent: int, listed: bool):
+    """(rows, links): a row per document, and every link between distinct sets once.
+
+    Links are (a, b, many) with the overlap as many if listed; else single rows (a, null, many) carry numbers
+    of links, to be summed, and the others span the components. A link is counted by the pair that a short list
+    gave, or, if long lists gather both rows, in the group of the least head that gathers both.
+    """
+    rows, entry, top, _, pairs, vectors = _candidates(docs, width, percent)
+    member = stash(entry.join(top, "column").select(F.col("top.row").alias("head"), "row", "n").distinct(), "ngram-members")
+    heads = stash(member.groupBy("row").agg(F.collect_set("head").alias("heads")), "ngram-heads")
+    of = lambda c: heads.select(F.col("row").alias(c), F.col("heads").alias(f"h{c}"))
+    single = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False)))
+    single = stash(single.select("a", "b"), "ngram-single")
+    links = _compare(single, vectors(_rows_of(single), False), percent, False).select("a", "b", F.col("overlap").alias("many"))
+    if not listed:
+        links = stash(links, "ngram-links")
+        ends = _rows_of(links).groupBy(F.col("row").alias("a")).agg(F.count(F.lit(1)).alias("many"))
+        links = links.select("a", "b", F.lit(None).cast("long").alias("many")).union(ends.select("a", F.lit(None).cast("long"), "many"))
+
+    groups = member.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries")).where("size > 1")
+    blocks_of = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("entries") / GROUP_ENTRIES)).cast("int")
+    placed = member.join(groups.select("head", blocks_of.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    meeting = placed.select("head", "row", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meeting = stash(meeting.select("head", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row"), "ngram-groups")
+    short = vectors(meeting.select("row").distinct(), True)
+    live = meeting.join(short, "row").join(heads, "row").groupBy("head", "x", "y").applyInArrow(_group_candidates(percent), "head long, x int, y int, block int, row long, heads array<long>")
+    live = stash(live, "ngram-live")
+    sets = vectors(live.select("row").distinct(), False)
+    found = live.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_links(percent, listed), "a long, b long, many long")
+    return rows, stash(links.union(found), "ngram-all-links")
+
+
+def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, n_links) for every row of docs.
+
+    A class are the documents of one set, named by its least doc_id; n_links is the number
+    of other classes that its set links to. Documents without words are classes of their own.
+    """
+    rows, found = _links(docs, width, percent, False)
+    named = _named(rows, components(found.where("b IS NOT NULL").select("a", "b")))
+    many = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("many").alias("n_links"))
+    ids = named.select("row", "row2", "least", "component_id").join(many, "row", "left")
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    return rows.join(ids, ["row", "row2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own("least").alias("class_id"), own("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def link_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_a, doc_b, overlap) of every two classes whose sets link, each class by its least doc_id, a the lesser."""
+    rows, found = _links(docs, width, percent, True)
+    least = rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("least"))
+    pairs = found.join(least.select(F.col("row").alias("a"), F.col("least").alias("da")), "a").join(least.select(F.col("row").alias("b"), F.col("least").alias("db")), "b")
+    turned = F.coalesce(F.col("da") > F.col("db"), F.col("da").isNull())
+    return pairs.select(F.when(turned, F.col("db")).otherwise(F.col("da")).alias("doc_a"), F.when(turned, F.col("da")).otherwise(F.col("db")).alias("doc_b"), F.col("many").alias("overlap"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs."""
+    rows, entry, top, star, pairs, vectors = _candidates(docs, width, percent)
     # each row against its lists' most typical rows and the row it shares most with: that settles most components
     best = pairs.select(F.col("a").alias("row"), F.col("b").alias("to"), "shared").union(pairs.select("b", "a", "shared")).groupBy("row").agg(F.max(F.struct("shared", F.negate("to").alias("less"))).alias("m"))
     nearest = _ordered(best.select(F.col("row").alias("a"), F.negate("m.less").alias("b")))
@@ -512,10 +645,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         if late.take(1):
             parts = components(links.union(late))
 
-    classes = rows.where("n > 0").groupBy("row", "row2").agg(F.min("doc_id").alias("least"))
-    named = classes.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("row", "row2", "component_id")
+    ids = _named(rows, parts).select("row", "row2", "component_id")
     return rows.join(ids, ["row", "row2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -555,3 +685,15 @@ WITH RECURSIVE word AS (
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
 FROM word w LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
 """
+
+LINKS_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("SELECT w.doc_id")] + r"""
+, class AS (
+  SELECT w.doc_id, least(w.doc_id, coalesce(min(other), w.doc_id)) AS class_id
+  FROM word w LEFT JOIN (SELECT a AS doc_id, b AS other FROM overlap JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE k = p.n AND k = q.n UNION ALL
+    SELECT b, a FROM overlap JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE k = p.n AND k = q.n) USING (doc_id) GROUP BY w.doc_id
+), linked AS (
+  SELECT x.doc_id, count(DISTINCT y.class_id) AS n_links FROM both_ways e JOIN class x ON x.doc_id = e.a JOIN class y ON y.doc_id = e.b WHERE x.class_id <> y.class_id GROUP BY x.doc_id
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, class_id, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM word w JOIN class USING (doc_id) LEFT JOIN size USING (doc_id) LEFT JOIN linked USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+"""
