@@ -60,3 +60,13 @@ def test_tail_of_the_normal_distribution(spark):
     assert all(abs(r.p / (erfc(r.z / sqrt(2)) / 2) - 1) < 0.05 for r in got)
 
 
+
+
+def test_rejected_candidates_do_not_count_for_the_rate(spark):
+    rng = random.Random(3)
+    letters = s._UPPER + s._LOWER + s._DIGITS
+    keys = ["".join(rng.sample(letters, 20)) for _ in range(6)]
+    rejected = [f"zzzzzzzzzzzzzzzzzzzz{i}" for i in range(1000, 1600)]
+    docs = spark.createDataFrame(list(enumerate(keys + rejected)), "doc_id long, text string")
+    found = {r.doc_id for r in s.digest(docs).collect() if "random" in r.spans}
+    assert len(found) >= 4 and max(found) < len(keys)

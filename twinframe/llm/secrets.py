@@ -179,7 +179,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     free = F.filter("candidates", lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     scored = F.transform(tested(free), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["random"].alias("random"), _length_class(c["n"]).alias("length"), F.least(F.lit(BINS - 1), F.floor(-10 * F.log10(F.greatest(c["plain"], F.lit(1e-300))))).cast("int").alias("bin")))
     found = stash(found.select("doc_id", "assign", "access", "hex", F.when(F.size("candidates") > 0, scored).otherwise(F.slice(scored, F.lit(1), F.lit(0))).alias("scored")), "secret-tests")
-    least = thresholds(found.select(F.explode("scored").alias("c")).select("c.length", "c.bin"), rate)
+    left = F.filter("scored", lambda c: c["random"] >= ALPHA)
+    least = thresholds(found.select(F.explode(left).alias("c")).select("c.length", "c.bin"), rate)
     limit = lambda c: F.coalesce(*(F.when(c["length"] == k, b) for k, b in least.items()), F.lit(BINS))
     passed = F.filter("scored", lambda c: (c["random"] >= ALPHA) & (c["bin"] >= limit(c)))
     return found.select("doc_id", "assign", "access", "hex", bare(passed).alias("random"))
