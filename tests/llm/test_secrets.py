@@ -70,3 +70,17 @@ def test_rejected_candidates_do_not_count_for_the_rate(spark):
     docs = spark.createDataFrame(list(enumerate(keys + rejected)), "doc_id long, text string")
     found = {r.doc_id for r in s.digest(docs).collect() if "random" in r.spans}
     assert len(found) >= 4 and max(found) < len(keys)
+
+
+def test_keys_of_letters_only_are_found(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(alphabet) for _ in range(60)) for alphabet in (s._UPPER + s._LOWER, s._UPPER, s._LOWER) for _ in range(8)]
+    plain = ["-" * 40, "counterrevolutionaries", "getUserAccountInformation", "https/www/example/com/page/index/html", "well-known-state-of-the-art-method"]
+    docs = spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")
+    found = {r.doc_id for r in s.digest(docs).collect() if "random" in r.spans}
+    assert len(found) >= 20 and max(found) < len(keys)
+
+
+def test_padding_alone_is_no_candidate(spark):
+    docs = spark.createDataFrame([(1, "=" * 30), (2, "1" + "=" * 25), (3, "a" + "=" * 25)], "doc_id long, text string")
+    assert [r.spans for r in s.digest(docs).collect()] == ["", "", ""]

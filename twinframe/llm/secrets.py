@@ -1,7 +1,7 @@
 """Secret scans: pattern kinds, and a battery of randomness tests for everything else.
 
-The pattern kinds (assign, access, hex) give the base spans. Other runs of token characters
-with a digit are candidates for the kind `random`. For each, an encoding is inferred from
+The pattern kinds (assign, access, hex) give the base spans. Other runs of 20 token
+characters or more are candidates for the kind `random`. For each, an encoding is inferred from
 its characters, which gives an alphabet and every character's place in it. Three tests ask
 whether the places look drawn at random from that alphabet: chi-squared uniformity, runs
 above and below the middle, and serial correlation at lag one; a candidate that any of them
@@ -14,7 +14,7 @@ Scale: DataFrame functions only, no shuffle of texts or candidates. p-values are
 bins of a tenth of a decade, upper edges standing for the bin, so the rule needs a table of
 at most LENGTHS times BINS rows, and its result is one threshold per class of lengths.
 
-Defined cases: null texts are empty and have no spans; spans count code points; kinds may
+Defined cases: null texts are empty and have no spans; padding with no more than one character before it is no candidate; spans count code points; kinds may
 overlap each other, `random` spans never overlap base spans; repeated rows give equal
 rows; an empty table gives an empty table; other columns are ignored.
 """
@@ -33,7 +33,7 @@ HEX = r"[0-9a-f]{24,}+"  # [0-9a-f]+ of 24 or more: runs are maximal either way
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHA, RATE = 0.003, 0.01
 #: Classes of lengths begin here.
 LENGTHS = (20, 28, 40, 64)
@@ -45,9 +45,12 @@ ENCODINGS = (
     (r"^[0-9]+$", _DIGITS),
     (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
     (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    (r"^[a-z]+$", _LOWER),
+    (r"^[A-Z]+$", _UPPER),
     (r"^[A-Z2-7]+$", _UPPER + "234567"),
     (r"^[a-z0-9]+$", _LOWER + _DIGITS),
     (r"^[A-Z0-9]+$", _UPPER + _DIGITS),
+    (r"^[A-Za-z]+$", _UPPER + _LOWER),
     (r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
     (r"^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
     (r"", _UPPER + _LOWER + _DIGITS + "+/-_="),
@@ -176,7 +179,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     )
     found = stash(found, "secret-spans")
     base = F.concat("assign", "access", "hex")
-    free = F.filter("candidates", lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    free = F.filter("candidates", lambda c: (F.length(F.regexp_replace(c["found"], "=+$", "")) > 1) & ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     scored = F.transform(tested(free), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["random"].alias("random"), _length_class(c["n"]).alias("length"), F.least(F.lit(BINS - 1), F.floor(-10 * F.log10(F.greatest(c["plain"], F.lit(1e-300))))).cast("int").alias("bin")))
     found = stash(found.select("doc_id", "assign", "access", "hex", F.when(F.size("candidates") > 0, scored).otherwise(F.slice(scored, F.lit(1), F.lit(0))).alias("scored")), "secret-tests")
     left = F.filter("scored", lambda c: c["random"] >= ALPHA)
