@@ -110,3 +110,11 @@ def test_every_link_is_counted(spark, monkeypatch, short, frequent, group_rows):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(d, least[s], linked.count(least[s])) for s, ids in sets.items() for d in ids}
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(map(tuple, j.digest(frame).collect()))
     assert j.jaccard_links(frame.limit(0)).count() == 0 and j.link_pairs(frame.limit(0)).count() == 0
+
+
+def test_unlinked_rows_of_one_id_or_none_all_stay(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, "alone without an id"), (None, "another one without an id"), (None, "another one without an id"), (None, ""), (None, None), (4, "four has this text"), (4, "and four has that text"), (4, "four has this text"), (2, long), (4, long), (7, ""), (7, "")]
+    got = j.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = [(None, "alone without an id"), (None, "another one without an id"), (None, ""), (None, None), (4, "four has this text"), (4, "and four has that text"), (2, long), (7, "")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))

@@ -47,8 +47,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, stash, text_frame
+from .common import OWN, bounded_batches, stash, text_frame
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -614,6 +615,11 @@ def link_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
+    return _placed(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(row, row2, doc_id, n, component, component_id) for every row of docs; the last two null where its set is empty."""
     rows, entry, top, star, pairs, vectors = _candidates(docs, width, percent)
     # each row against its lists' most typical rows and the row it shares most with: that settles most components
     best = pairs.select(F.col("a").alias("row"), F.col("b").alias("to"), "shared").union(pairs.select("b", "a", "shared")).groupBy("row").agg(F.max(F.struct("shared", F.negate("to").alias("less"))).alias("m"))
@@ -645,20 +651,45 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         if late.take(1):
             parts = components(links.union(late))
 
-    ids = _named(rows, parts).select("row", "row2", "component_id")
-    return rows.join(ids, ["row", "row2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(_named(rows, parts).select("row", "row2", "component", "component_id"), ["row", "row2"], "left")
+
+
+def _with_sets(docs: DataFrame, width: int) -> DataFrame:
+    """docs with `__tf_` columns row and row2, the id of each text's set; null where it is empty."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{OWN}row", T.LongType()), T.StructField(f"{OWN}row2", T.LongType())])
+
+    def run(batches):
+        shingles = Shingler(width)
+        for batch in batches:
+            names = [set_id(tokens) if len(tokens) else (None, None) for tokens in shingles.batch(batch.column(at))]
+            arrays = [*batch.columns, *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, f"{OWN}row", f"{OWN}row2"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The document with the least doc_id of each component, and those without words; the same columns.
+    """One document of each component, the one with the least doc_id, and those without words; the same columns.
 
-    Rows without a doc_id go where their component has one; else one of them stays.
-    Repeated rows of one doc_id count as one document.
+    Rows without a doc_id stay only where their component has no other; then one of them does. Rows of one doc_id
+    count as one document only where their texts are in one component, or both without words.
     """
-    found = jaccard_components(docs, width, percent)
-    kept = stash(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "ngram-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__tf_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("__tf_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("copies > 1").take(1) else out
+    names = [f"{OWN}{c}" for c in ("id", "row", "row2")]
+    found = _placed(docs, width, percent)
+    sets = found.groupBy("component", "doc_id", F.when(F.col("n") > 0, F.col("row")).alias("row"), F.when(F.col("n") > 0, F.col("row2")).alias("row2")).agg(F.count(F.lit(1)).alias("copies"))
+    sets = stash(sets, "ngram-sets")
+    first = sets.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "copies")).alias("k"))
+    kept = stash(first.select("k.doc_id", "k.row", "k.row2", "k.copies").union(sets.where("component IS NULL").select("doc_id", "row", "row2", "copies")), "ngram-kept")
+    marked = _with_sets(docs, width).withColumn(names[0], F.col("doc_id").cast("long"))
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_kept")) for n in names]
+    out = marked.join(kept.select(*(F.col(c).alias(f"{n}_kept") for c, n in zip(("doc_id", "row", "row2"), names, strict=True))), same[0] & same[1] & same[2], "left_semi")
+    if kept.where("copies > 1 AND (doc_id IS NOT NULL OR row IS NOT NULL)").take(1):
+        # rows with neither an id nor words are documents of their own
+        alone = F.when(F.col(names[0]).isNull() & F.col(names[1]).isNull(), F.monotonically_increasing_id())
+        out = out.withColumn(f"{OWN}alone", alone).dropDuplicates([*names, f"{OWN}alone"]).drop(f"{OWN}alone")
+    return out.drop(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
