@@ -35,9 +35,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shard_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its place there."""
+    """Every document with its shard and its place there; `__tf_` goes before a name that docs has already."""
     got = sharding.shard(docs)
-    return got.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(OWN + c).alias(c) for c in ("size", "shard", "slot") if c not in docs.columns))
+    taken = {c.lower() for c in docs.columns}
+    return got.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(OWN + c).alias(OWN + c if c in taken else c) for c in ("size", "shard", "slot")))
 
 
 STAGES = [

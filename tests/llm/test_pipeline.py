@@ -48,3 +48,11 @@ def test_stages_like_plain_python(spark, tmp_path):
     for r in last:
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_shards_stand_beside_columns_of_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i, "mine", -1) for i in range(60)], "doc_id long, text string, shard string, Size int")
+    corpus_pipeline.shard_packing(spark, docs, DATA).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["doc_id", "text", "shard", "Size", "__tf_size", "__tf_shard", "slot"]
+    assert all(r.shard == "mine" and r.Size == -1 and r["__tf_size"] == r.doc_id + 8 and 0 <= r["__tf_shard"] < 24 for r in got.collect())
