@@ -106,3 +106,12 @@ def test_round_trip_through_files(spark, tmp_path):
         (headers, block), = w.parse_records(r.record)
         assert block.decode() == r.block and headers["WARC-Refers-To"] == r.refers_to == r.source_id and headers["WARC-Block-Digest"] == r.block_digest
     assert w.split_http(b"no http") == ("", [], b"no http")
+
+
+def test_an_articles_own_link_list_stays():
+    items = "<ul>" + "".join(f'<li><a href="/{k}">Reference number {k}</a></li>' for k in range(5)) + "</ul>"
+    listed = "\n".join(f"Reference number {k}" for k in range(5))
+    for tag in ("article", "main"):
+        got = h.main_text(f"<body><{tag}><header>{items}</header>{BODY}{items}<p>More, after that.</p><h2>References</h2>{items}<nav>{items}</nav></{tag}></body>")
+        assert got == f"{TEXT}\n{listed}\nMore, after that.\nReferences\n{listed}"
+    assert listed not in h.main_text(f"<body><div>{BODY}{items}</div></body>")

@@ -276,6 +276,23 @@ def _prose(text: str) -> bool:
     return len(text) >= 40 and text.rstrip("\"'”’»)")[-1:] in tuple(".!?…:;。！？")
 
 
+def _at_edge(nodes: list[Node], blocks: list[tuple[int, str, int]], article: int, at: int) -> bool:
+    """Whether a link list begins or ends an article's text, and no heading or line with a colon leads to it."""
+
+    def below(node: int, top: int) -> bool:
+        while node > top:
+            node = nodes[node].parent
+        return node == top
+
+    here = [(below(node, at), node, text, links) for node, text, links in blocks if below(node, article)]
+    first = next(k for k, b in enumerate(here) if b[0])
+    last = max(k for k, b in enumerate(here) if b[0])
+    prose = lambda part: any(links <= LINK_LIST * len(text) for _, _, text, links in part)
+    if first and (nodes[here[first - 1][1]].tag in HEADINGS or here[first - 1][2].endswith((":", "："))):
+        return False
+    return not prose(here[:first]) or not prose(here[last + 1 :])
+
+
 def _choose(nodes: list[Node], dropped: list[bool]) -> list[str]:
     blocks = _blocks(nodes, 0, dropped)
     scores, size, linked, lists = _scores(nodes, blocks)
@@ -306,12 +323,14 @@ def _choose(nodes: list[Node], dropped: list[bool]) -> list[str]:
                 few_links = linked[part] <= SIBLING_LINKS * size[part]
                 if few_links and (scores[part] >= SIBLING_SCORE * scores[best] or nodes[part].tag in HEADINGS or any(map(_prose, own[part]))):
                     kept.add(part)
-    inside = [False] * len(nodes)
+    inside, header = [False] * len(nodes), [False] * len(nodes)
     gone = list(dropped)
     for i, n in enumerate(nodes):
         inside[i] = i in kept or i > 0 and inside[n.parent]
+        header[i] = n.tag == "header" or i > 0 and header[n.parent]
         if inside[i] and i not in kept and n.tag in ("ul", "ol", "div", "section", "table", "dl") and lists[i] >= 3 and linked[i] > LINK_LIST * size[i]:
-            gone[i] = True
+            # an explicit article's own lists stay; what is marked as navigation went before
+            gone[i] = around < 0 or header[i] or _at_edge(nodes, blocks, around, i)
         gone[i] = gone[i] or i > 0 and gone[n.parent]
     return [t for node, t, _ in blocks if inside[node] and not gone[node]]
 
