@@ -7,10 +7,13 @@ the shared checkpoint folder, and gapless numbering without a hot partition.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,10 +33,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that very long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small, so that very long texts don't add up in a worker.
+
+    Spark reads these settings when a query is planned, which for what an operator returns is
+    after it has returned. So they stay set, unless the session has smaller ones.
+    """
+    for key, most in _LIMITS.items():
+        now = spark.conf.get(key) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def lean(run):
+    """A function for mapInArrow that gives free memory back when its task ends: idle workers stay alive."""
+
+    @wraps(run)
+    def until_done(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return until_done
 
 
 def space_words(text: bytes) -> list[bytes]:
@@ -50,19 +80,37 @@ _own_folder: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
+    """The shared folder that the session names; one of our own only where none is set and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="twinframe-checkpoint-"))
         named = _own_folder[0]
     return named
 
 
-_stashed: list[tuple[SparkSession, str]] = []
+#: Path of each table that stash() wrote and nothing has deleted yet.
+_stashed: dict[str, SparkSession] = {}
+#: Spark deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -73,21 +121,31 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stashed.append((spark, path))
-    # shuffle files of what was just written go once the driver's JVM sees that nothing refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    _stashed[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that stash() gave, once nothing will read them again."""
+    for table in tables:
+        _delete(getattr(table, "stashed_at", None))
+
+
+def _delete(path: str | None) -> None:
+    if (spark := _stashed.pop(path, None)) is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_stashes() -> None:
     """Delete the tables that stash() wrote in this process."""
-    while _stashed:
-        spark, path = _stashed.pop()
+    for path in list(_stashed):
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration() if hasattr(spark, "_jsc") else spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # the session may be gone at exit; the folder's owner then cleans up
             return
 
@@ -116,7 +174,7 @@ def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make
             arrays = [*batch.columns, *(pa.array(v, kind) for v, (_, kind) in zip(got, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(n for n, _ in kinds)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def text_frame(docs: DataFrame) -> DataFrame:

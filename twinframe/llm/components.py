@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node in its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     longest path, or about so. Each is written out, so that lineage stays short and
     a lost executor costs one step. A hub's rows meet in joins, which Spark may split.
     """
-    now, last = stash(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
+    now, last = edges.where("a <> b").select("a", "b"), None
     while True:
-        now = stash(_small_star(_large_star(now)), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        new = stash(_small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")), "edges")
+        release(now)
+        now, mark = new, (seen.get["n"], seen.get["mark"])
         if mark == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         last = mark

@@ -15,27 +15,29 @@ the frequent columns were found changes the work and never the result.
 Columns whose list is long even so belong to large groups of near copies. There, pairs
 are not enumerated: each list pairs its rows with its most typical row (one pair per row).
 Pairs are first compared by short vectors, the row's first columns, of which linking rows
-share a known number; what is left of the typical pairs is counted exactly, with each row's
-pair that shares most, and components are formed. Rows whose long lists have one typical row
-form a group, so rows that meet in a long list share a group. Groups that are one component
-by then hold nothing new. The others are cut into blocks of rows. For each two blocks the
-product of their short vectors leaves the rows that may link to another component, and the product
-of those rows' sets gives all their overlaps at once; of the links, those that span the
-block's components are returned, so output stays linear. Other pairs are counted where their rows
-still lie apart. No link between rows of different components stays unchecked, so the
-components are exact; only links inside a component may stay uncounted there.
+share a known number; what is left is counted exactly, and components are formed. Rows whose
+long lists have one typical row form a group, so rows that meet in a long list share a group.
+Groups that are one component by then hold nothing new. The others are cut into blocks of rows,
+of GROUP_ROWS rows and GROUP_ENTRIES entries at most. For each two blocks the product of their
+short vectors leaves the rows that may link to another component, and the product of those
+rows' sets gives all their overlaps at once; of the links, those that span the block's components
+are returned, so output stays linear. No link between rows of different components stays
+unchecked, so the components are exact; only links inside a component may stay uncounted there.
 
 `jaccard_links` and `link_pairs` count every link: pairs from short lists that no long list
 gathers are counted one by one, and all groups go through the block products, of which each
 pair of rows is taken in one group and one block pair only.
 
-Scale: texts are read several times and never shuffled; what is shuffled are about 15 %
-of the shingles, once, and the sets of rows that have candidates. Frequent columns go
-to Python as a table of at most TOP_COLUMNS rows, needed rows as a filter of fixed size.
+Scale: texts are read five times and shuffled only by `keep_one`, once; what is shuffled are about
+15 % of the shingles, once, and the sets of rows that have candidates. Frequent columns go
+to Python as a table of at most TOP_COLUMNS rows, and so do their typical rows to a join. Rows
+that are needed go there as a filter of FILTER_BITS for each row, up to 2**MOST_BITS bits (8 MB);
+with more than some ten million such rows it lets more and more others pass, which a join drops.
+Tables between steps are deleted as soon as nothing reads them any more.
 
 Defined cases: null or empty texts and texts without words have an empty set and link
 with nothing; fewer words than `width` make one shingle of the whole sequence; repeated
-rows and equal sets form one class; a null doc_id takes part, and a component's id is its
+rows and equal sets form one class; doc_id is a number, a null one takes part, and a component's id is its
 least doc_id that isn't null; empty tables give empty tables; other columns are ignored.
 """
 
@@ -45,11 +47,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import OWN, bounded_batches, stash, text_frame
+from .common import OWN, bounded_batches, lean, release, stash, text_frame
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -61,18 +62,18 @@ SHORT_LIST = 8
 BLOCK_ROWS = 250_000
 #: Vectors compared before whole sets hold (1 + HEAD_PARTS) times the slack n - needed.
 HEAD_PARTS = 1
-#: Rows of one block when all rows that met in long lists are compared.
-GROUP_ROWS = 1024
-#: Entries of one block when all links are counted.
-GROUP_ENTRIES = 4_000_000
-#: Bits of the filter that tells which rows have candidates.
-FILTER_BITS = 22
+#: Rows and entries of one block when all rows that met in long lists are compared.
+GROUP_ROWS, GROUP_ENTRIES = 1024, 1_000_000
+#: Bits for each row of the filter that tells which rows have candidates; its size is two to the power of MOST_BITS at most.
+FILTER_BITS, MOST_BITS = 16, 26
+#: Entries held while columns are counted, and names of sets held so that copies are worked on once.
+HELD, NAMES = 500_000, 100_000
 
 _MULTIPLY = tuple(np.uint64(int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big") | 1) for k in range(64))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 #: Bytes of texts whose words are hashed together.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,15 +166,11 @@ def reaches(overlap, a, b, percent):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _table(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def _long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("column", pa.int64()), ("seen", pa.int64())])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("column", pa.int64()), ("seen", pa.int64())])
 
 
 def _rows_and_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,31 +182,30 @@ def _rows_and_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
         def flush():
             columns, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= LOCAL_COUNT
-            k = int(keep.sum())
-            none = [None] * k
-            return _table({"doc_id": none, "n": none, "row": none, "row2": none, "column": _long(columns[keep]), "seen": counts[keep]}, _ROWS)
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(none), pa.binary()), none, none, none, pa.array(_long(columns[keep])), pa.array(counts[keep])], schema=_ROWS)
 
         for batch in batches:
-            out = {"n": [], "row": [], "row2": []}
-            for tokens in shingles.batch(batch.column(1)):
-                n, name = len(tokens), set_id(tokens)
-                out["n"].append(n)
-                out["row"].append(name[0])
-                out["row2"].append(name[1])
-                if n and name not in sets:
+            n, row, row2 = [], [], []
+            for tokens in shingles.batch(batch.column(2)):
+                name = set_id(tokens)
+                n.append(len(tokens))
+                row.append(name[0])
+                row2.append(name[1])
+                if n[-1] and name not in sets:
                     sets.add(name)
-                    held.append(tokens[: int(1.25 * (n - needed(n, percent))) + 2])
+                    held.append(tokens[: int(1.25 * (n[-1] - needed(n[-1], percent))) + 2])
                     size += len(held[-1])
-            none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(out[c], pa.int64()) for c in ("n", "row", "row2")), pa.array(none, pa.int64()), pa.array(none, pa.int64())], schema=_ROWS)
-            if size > 2_000_000:
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary()), *(pa.array(x, pa.int64()) for x in (n, row, row2)), none, none], schema=_ROWS)
+            if size > HELD:
                 yield flush()
                 held, size = [], 0
                 sets.clear()
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, row long, row2 long, column long, seen long")
+    return docs.mapInArrow(lean(run), "doc_id long, content binary, n long, row long, row2 long, column long, seen long")
 
 
 def _in_order(tokens: np.ndarray, columns: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, int]:
@@ -243,39 +239,39 @@ def _entries(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                 tokens, many, typical = _in_order(tokens, columns, seen)
                 take = tokens[:first]
                 parts.append((take, name[0], n, typical, np.zeros(len(take), bool) if many is None else many[:first]))
-            if len(sets) > 1_000_000:
+            if len(sets) > NAMES:
                 sets.clear()
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 spread = lambda k, kind: np.repeat(np.array([p[k] for p in parts], kind), sizes)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate([p[0] for p in parts]))), pa.array(spread(1, np.int64)), pa.array(spread(2, np.int32)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(spread(3, np.int32)), pa.array(np.concatenate([p[4] for p in parts]))], schema=_ENTRIES)
 
-    return docs.select("text").mapInArrow(run, "column long, row long, n int, place int, typical int, frequent boolean")
+    return docs.select("text").mapInArrow(lean(run), "column long, row long, n int, place int, typical int, frequent boolean")
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("column", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("typical", pa.int32())])
+#: What _FOUND's rows say: rows x and y may link; y of n entries belongs to the group of x of m entries; frequent column x has row y of n entries, typical to the degree m.
+PAIR, MEMBER, FREQUENT_ENTRY = range(3)
+_FOUND = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
 
 
 def _block_product(percent: int, short_list: int):
-    """Pairs that meet in the block's columns, and the entries of long lists as they are."""
+    """Pairs that meet in the block's short lists, the rows of each long list with its most typical row, and entries of frequent columns as they are."""
 
-    def pairs_batch(a, b):
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        k = len(both)
-        no64, no32 = pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), no64, no64, no32, no32, no32], schema=_FOUND)
+    def made(kind, x, y, n, m):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(c) for c in (x, y)), *(pa.array(c.astype(np.int32, copy=False)) for c in (n, m))], schema=_FOUND)
 
-    def long_batch(column, row, n, place, typical):
-        none = pa.nulls(len(column), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, (column, row, n, place, typical))], schema=_FOUND)
+    def pairs(left, right):
+        both = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0)
+        none = np.zeros(len(both), np.int32)
+        return made(PAIR, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), none, none)
 
     def run(batches):
         held = []
         for batch in batches:
             arrays = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if (many := arrays[5].astype(bool)).any():
-                yield long_batch(*(x[many] for x in arrays[:5]))
+                column, row, n, _, typical = (x[many] for x in arrays[:5])
+                yield made(FREQUENT_ENTRY, column, row, n, typical)
                 arrays = [x[~many] for x in arrays]
             held.append(arrays[:5])
         if not held:
@@ -290,7 +286,9 @@ def _block_product(percent: int, short_list: int):
         starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]]) if len(column) else np.empty(0, int)
         lengths = np.diff(np.r_[starts, len(column)])
         for s, k in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
-            yield long_batch(*(x[s : s + k] for x in (column, row, n, place, typical)))
+            rows, sizes = row[s : s + k], n[s : s + k]
+            head = np.lexsort((rows, typical[s : s + k]))[-1]
+            yield made(MEMBER, np.full(k, rows[head]), rows, sizes, np.full(k, sizes[head]))
         left, right, size = [], [], 0
         for step in range(1, short_list):  # entry i of a list against entry i + step
             of = np.repeat(lengths, lengths)
@@ -305,23 +303,32 @@ def _block_product(percent: int, short_list: int):
             right.append(row[j[ok]])
             size += int(ok.sum())
             if size > 500_000:
-                yield pairs_batch(np.concatenate(left), np.concatenate(right))
+                yield pairs(np.concatenate(left), np.concatenate(right))
                 left, right, size = [], [], 0
         if size:
-            yield pairs_batch(np.concatenate(left), np.concatenate(right))
+            yield pairs(np.concatenate(left), np.concatenate(right))
 
-    return run
+    return lean(run)
+
+
+def _row_filter(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): a bit for each wanted row's hash; words of 64 of them are put together before they reach the driver."""
+    bits = min(MOST_BITS, max(16, (FILTER_BITS * wanted.count()).bit_length()))
+    at = F.col("row").bitwiseAND(2**bits - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    got = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # 2**(MOST_BITS - 6) rows
+    words = np.zeros(2 ** (bits - 6), np.uint64)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits, words
 
 
 def _vectors(docs: DataFrame, wanted: DataFrame, frequent, width: int, percent: int, head: bool) -> DataFrame:
-    """(row, row2, tokens) of the wanted rows: their sets, or, for head, the first HEAD_PARTS parts of their slack in column order, 32 bits each."""
-    bit = F.col("row").bitwiseAND(2**FILTER_BITS - 1).cast("int")
-    bits = np.zeros(2**FILTER_BITS, bool)
-    bits[wanted.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    """(row, tokens) of the wanted rows: their sets, or, for head, the first HEAD_PARTS parts of their slack in column order, 32 bits each."""
+    wanted = stash(wanted.select("row").distinct(), "ngram-wanted")
+    shipped = docs.sparkSession.sparkContext.broadcast(_row_filter(wanted))
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).astype(bool)
+        bits, words = shipped.value
         columns, seen = frequent.value
         shingles, sets = Shingler(width), set()
         for batch in batches:
@@ -330,7 +337,8 @@ def _vectors(docs: DataFrame, wanted: DataFrame, frequent, width: int, percent:
                 if not len(tokens):
                     continue
                 row, row2 = set_id(tokens)
-                if bits[row & (2**FILTER_BITS - 1)] and (row, row2) not in sets:
+                at = row & (2**bits - 1)
+                if int(words[at >> 6]) >> (at & 63) & 1 and (row, row2) not in sets:
                     sets.add((row, row2))
                     rows.append(row)
                     rows2.append(row2)
@@ -340,12 +348,15 @@ def _vectors(docs: DataFrame, wanted: DataFrame, frequent, width: int, percent:
                         values.append(np.array([n], np.uint32).tobytes() + np.sort((first >> np.uint64(32)).astype(np.uint32)).tobytes())
                     else:
                         values.append(tokens.tobytes())
-            if len(sets) > 1_000_000:
+            if len(sets) > NAMES:
                 sets.clear()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(rows2, pa.int64()), pa.array(values, pa.binary())], ["row", "row2", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "row long, row2 long, tokens binary")
-    return found.join(wanted.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min_by("tokens", "row2").alias("tokens"))
+    found = docs.select("text").mapInArrow(lean(run), "row long, row2 long, tokens binary")
+    out = stash(found.join(wanted, "row", "left_semi").groupBy("row").agg(F.min_by("tokens", "row2").alias("tokens")), "ngram-vectors")
+    release(wanted)
+    shipped.unpersist()
+    return out
 
 
 def _guaranteed(n, percent):
@@ -366,7 +377,7 @@ def _compare(pairs: DataFrame, vectors: DataFrame, percent: int, head: bool) ->
 
     def run(batches):
         for batch in batches:
-            ok, shared, common, last, value = [], [], [], None, None
+            ok, common, last, value = [], [], None, None
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x = x.as_buffer()
                 if last is None or not x.equals(last):
@@ -380,29 +391,30 @@ def _compare(pairs: DataFrame, vectors: DataFrame, percent: int, head: bool) ->
                     n, m = len(value), len(other)
                     k = _common(value, other) if n < m else _common(other, value)
                     ok.append(bool(reaches(k, n, m, percent)))
-                shared.append(100 * k // min(n, m))
                 common.append(k)
             ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(common, pa.int64())], ["a", "b", "shared", "overlap"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "overlap"]).filter(ok)
 
     one = pairs.select("a", "b").join(vectors.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b")
     both = one.join(vectors.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, shared int, overlap long")
+    return both.mapInArrow(lean(run), "a long, b long, overlap long")
 
 
 def _overlaps(vectors: list[np.ndarray]) -> np.ndarray:
     """Entries in common of all pairs: the product of the incidence rows with their transpose, column block by column block."""
     owner = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-    columns, at = np.unique(np.concatenate(vectors), return_inverse=True)
-    shared = np.flatnonzero(np.bincount(at, minlength=len(columns)) > 1)
-    place = np.full(len(columns), -1)
-    place[shared] = np.arange(len(shared))
-    at = place[at]
+    columns = np.concatenate(vectors)
+    order = np.argsort(columns, kind="stable")
+    owner, columns = owner[order], columns[order]
+    starts = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]]) if len(columns) else np.empty(0, int)
+    lengths = np.diff(np.r_[starts, len(columns)])
+    shared = np.repeat(lengths > 1, lengths)
+    owner, at = owner[shared], np.repeat(np.arange(int((lengths > 1).sum())), lengths[lengths > 1])
     overlap = np.zeros((len(vectors), len(vectors)), np.float32)
-    for low in range(0, len(shared), 2048):
-        mine = (at >= low) & (at < low + 2048)
-        part = np.zeros((len(vectors), min(2048, len(shared) - low)), np.float32)
-        part[owner[mine], at[mine] - low] = 1
+    for low in range(0, int((lengths > 1).sum()), 2048):
+        first, last = np.searchsorted(at, (low, low + 2048))
+        part = np.zeros((len(vectors), at[last - 1] - low + 1), np.float32)
+        part[owner[first:last], at[first:last] - low] = 1
         overlap += part @ part.T
     return overlap
 
@@ -513,42 +525,64 @@ def _rows_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("row"))
 
 
-def _size_ok(a: str, b: str, percent: int):
-    return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _candidates(docs: DataFrame, width: int, percent: int):
-    """What both the components and the links start from: a row per document, entries of long lists with their heads, pairs that may link, and vectors by rows."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = text_frame(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    broadcast = spark.sparkContext.broadcast
-
-    first = stash(_rows_and_counts(docs, width, percent), "ngram-rows")
-    counted = first.where("column IS NOT NULL").groupBy("column").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "column").limit(TOP_COLUMNS).toArrow()
-    columns = counted.column("column").to_numpy().view(np.uint64)
-    order = np.argsort(columns)
-    frequent = broadcast((columns[order], counted.column("seen").to_numpy()[order]))
-    rows = first.where("column IS NULL").select("doc_id", "n", "row", "row2")
-
-    shingles = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingles * (100 - percent) / 100) // BLOCK_ROWS), 1)
-    entries = _entries(docs, frequent, width, percent)
-    blocked = entries.repartition(blocks, F.when(F.col("frequent"), F.col("row")).otherwise(F.col("column")))
-    found = stash(blocked.mapInArrow(_block_product(percent, SHORT_LIST), "a long, b long, column long, row long, n int, place int, typical int"), "ngram-blocks")
-
-    entry = found.where("a IS NULL").select("column", "row", "n", "place", "typical")
-    top = entry.groupBy("column").agg(F.max(F.struct("typical", "row", "n")).alias("top"))
-    star = entry.join(top, "column").where(_size_ok("n", "top.n", percent)).select(F.col("top.row").alias("a"), F.col("row").alias("b"))
-    star = stash(_ordered(star), "ngram-star")
-    met = stash(_ordered(found.where("a IS NOT NULL").select("a", "b").union(star)), "ngram-met")
-    vectors = lambda of, head: stash(_vectors(docs, of, frequent, width, percent, head), "ngram-vectors")
-    pairs = stash(_compare(met, vectors(_rows_of(met), True), percent, True), "ngram-pairs")
-    return rows, entry, top, star, pairs, vectors
+def _class_key(text: Column) -> Column:
+    """What tells texts with words apart; null for the others."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text)))
+
+
+class _Candidates:
+    """What both the components and the links start from.
+
+    rows: a row per document; member: (head, row, n), who met in long lists; heads: short vectors; pairs: (a, b) that
+    may link, each once; vectors: sets of wanted rows.
+    """
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        spark = docs.sparkSession
+        bounded_batches(spark)
+        text = F.col("text").cast("string")
+        docs = text_frame(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _class_key(text).alias("content"), text.alias("text"))
+        self.first = stash(_rows_and_counts(docs, width, percent), "ngram-rows")
+        self.rows = self.first.where("column IS NULL").select("doc_id", "content", "n", "row", "row2")
+        counted = self.first.where("column IS NOT NULL").groupBy("column").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "column").limit(TOP_COLUMNS).toArrow()
+        columns = counted.column("column").to_numpy().view(np.uint64)
+        order = np.argsort(columns)
+        self.frequent = spark.sparkContext.broadcast((columns[order], counted.column("seen").to_numpy()[order]))
+        self.vectors = lambda of, head: _vectors(docs, of, self.frequent, width, percent, head)
+
+        shingles = self.rows.agg(F.sum("n")).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingles * (100 - percent) / 100) // BLOCK_ROWS), 1)
+        blocked = _entries(docs, self.frequent, width, percent).repartition(blocks, F.when(F.col("frequent"), F.col("row")).otherwise(F.col("column")))
+        found = stash(blocked.mapInArrow(_block_product(percent, SHORT_LIST), "kind int, x long, y long, n int, m int"), "ngram-blocks")
+
+        often = found.where(F.col("kind") == FREQUENT_ENTRY)
+        top = often.groupBy("x").agg(F.max(F.struct("m", "y", "n")).alias("top"))  # TOP_COLUMNS rows at most
+        often = often.select("x", "y", "n").join(F.broadcast(top), "x").select(F.col("top.y").alias("head"), F.col("y").alias("row"), "n", F.col("top.n").alias("of"))
+        listed = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("head"), F.col("y").alias("row"), "n", F.col("m").alias("of"))
+        self.member = stash(listed.union(often).distinct(), "ngram-members")
+        near = 100 * F.least("n", "of").cast("long") >= percent * F.greatest("n", "of").cast("long")
+        star = self.member.where(near).select(F.col("head").alias("a"), F.col("row").alias("b"))
+        met = stash(_ordered(found.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).union(star)), "ngram-met")
+        self.heads = self.vectors(_rows_of(met).union(self.member.select("row")), True)
+        self.pairs = stash(_compare(met, self.heads, percent, True).select("a", "b"), "ngram-pairs")
+        release(found, met)
+
+    def in_blocks(self, placed: DataFrame) -> DataFrame:
+        """placed, rows (head, row, n, ...) of groups, with `block`, and once for each two blocks x <= y that it is in."""
+        groups = placed.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries")).where("size > 1")
+        blocks_of = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("entries") / GROUP_ENTRIES)).cast("int")
+        placed = placed.join(groups.select("head", blocks_of.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return meeting.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", "blocks", "n")
+
+    def done(self) -> None:
+        """Delete all but the rows."""
+        release(self.member, self.heads, self.pairs)
+        self.frequent.unpersist()
 
 
 def _named(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -565,29 +599,28 @@ def _links(docs: DataFrame, width: int, percent: int, listed: bool):
     of links, to be summed, and the others span the components. A link is counted by the pair that a short list
     gave, or, if long lists gather both rows, in the group of the least head that gathers both.
     """
-    rows, entry, top, _, pairs, vectors = _candidates(docs, width, percent)
-    member = stash(entry.join(top, "column").select(F.col("top.row").alias("head"), "row", "n").distinct(), "ngram-members")
-    heads = stash(member.groupBy("row").agg(F.collect_set("head").alias("heads")), "ngram-heads")
-    of = lambda c: heads.select(F.col("row").alias(c), F.col("heads").alias(f"h{c}"))
-    single = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False)))
+    from_lists = _Candidates(docs, width, percent)
+    gathered = stash(from_lists.member.groupBy("row").agg(F.collect_set("head").alias("heads")), "ngram-heads")
+    of = lambda c: gathered.select(F.col("row").alias(c), F.col("heads").alias(f"h{c}"))
+    single = from_lists.pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False)))
     single = stash(single.select("a", "b"), "ngram-single")
-    links = _compare(single, vectors(_rows_of(single), False), percent, False).select("a", "b", F.col("overlap").alias("many"))
+    sets = from_lists.vectors(_rows_of(single), False)
+    links = stash(_compare(single, sets, percent, False).select("a", "b", F.col("overlap").alias("many")), "ngram-links")
+    release(single, sets)
+    found = links
     if not listed:
-        links = stash(links, "ngram-links")
         ends = _rows_of(links).groupBy(F.col("row").alias("a")).agg(F.count(F.lit(1)).alias("many"))
-        links = links.select("a", "b", F.lit(None).cast("long").alias("many")).union(ends.select("a", F.lit(None).cast("long"), "many"))
-
-    groups = member.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries")).where("size > 1")
-    blocks_of = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("entries") / GROUP_ENTRIES)).cast("int")
-    placed = member.join(groups.select("head", blocks_of.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    meeting = placed.select("head", "row", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meeting = stash(meeting.select("head", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row"), "ngram-groups")
-    short = vectors(meeting.select("row").distinct(), True)
-    live = meeting.join(short, "row").join(heads, "row").groupBy("head", "x", "y").applyInArrow(_group_candidates(percent), "head long, x int, y int, block int, row long, heads array<long>")
+        found = links.select("a", "b", F.lit(None).cast("long").alias("many")).union(ends.select("a", F.lit(None).cast("long"), "many"))
+
+    meeting = stash(from_lists.in_blocks(from_lists.member.select("head", "row", "n")), "ngram-groups")
+    live = meeting.join(from_lists.heads, "row").join(gathered, "row").groupBy("head", "x", "y").applyInArrow(_group_candidates(percent), "head long, x int, y int, block int, row long, heads array<long>")
     live = stash(live, "ngram-live")
-    sets = vectors(live.select("row").distinct(), False)
-    found = live.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_links(percent, listed), "a long, b long, many long")
-    return rows, stash(links.union(found), "ngram-all-links")
+    sets = from_lists.vectors(live.select("row"), False)
+    grouped = live.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_links(percent, listed), "a long, b long, many long")
+    out = stash(found.union(grouped), "ngram-all-links")
+    release(links, gathered, meeting, live, sets)
+    from_lists.done()
+    return from_lists.rows, out
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -619,77 +652,55 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(row, row2, doc_id, n, component, component_id) for every row of docs; the last two null where its set is empty."""
-    rows, entry, top, star, pairs, vectors = _candidates(docs, width, percent)
-    # each row against its lists' most typical rows and the row it shares most with: that settles most components
-    best = pairs.select(F.col("a").alias("row"), F.col("b").alias("to"), "shared").union(pairs.select("b", "a", "shared")).groupBy("row").agg(F.max(F.struct("shared", F.negate("to").alias("less"))).alias("m"))
-    nearest = _ordered(best.select(F.col("row").alias("a"), F.negate("m.less").alias("b")))
-    first_pairs = stash(nearest.union(pairs.select("a", "b").join(star, ["a", "b"], "left_semi")).distinct(), "ngram-first")
-    links = stash(_compare(first_pairs, vectors(_rows_of(first_pairs), False), percent, False).select("a", "b"), "ngram-links")
+    """(row, row2, doc_id, content, n, component, component_id) for every row of docs; the last two null where its set is empty."""
+    from_lists = _Candidates(docs, width, percent)
+    sets = from_lists.vectors(_rows_of(from_lists.pairs), False)
+    links = stash(_compare(from_lists.pairs, sets, percent, False).select("a", "b"), "ngram-links")
+    release(sets)
     parts = components(links)
 
-    apart = pairs.select("a", "b").join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where(~(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).select("a", "b").join(first_pairs, ["a", "b"], "left_anti")
     # rows that met in long lists: all that a typical row gathers, where they aren't one component yet
-    member = entry.join(top, "column").select(F.col("top.row").alias("head"), "row").distinct()
-    placed = member.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    blocks_of = F.ceil(F.col("size") / GROUP_ROWS).cast("int")
-    mixed = placed.join(mixed.select("head", blocks_of.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    meeting = mixed.select("head", "row", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meeting = stash(meeting.select("head", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "row", "component"), "ngram-groups")
-    heads = vectors(meeting.select("row").distinct(), True)
-    meeting = stash(meeting.join(heads, "row").groupBy("head", "x", "y").applyInArrow(_group_live(percent), "head long, x int, y int, row long"), "ngram-live")
-    if meeting.take(1):
-        sets = vectors(meeting.select("row").distinct(), False)
-        forests = meeting.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_forest(percent), "a long, b long")
-        links = stash(links.union(_ordered(forests)), "ngram-links")
-        parts = components(links)
-        apart = pairs.select("a", "b").join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where(~(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).select("a", "b").join(first_pairs, ["a", "b"], "left_anti")
-    apart = stash(apart, "ngram-apart")
-    if apart.take(1):
-        late = stash(_compare(apart, vectors(_rows_of(apart), False), percent, False).select("a", "b"), "ngram-links")
-        if late.take(1):
-            parts = components(links.union(late))
-
-    return rows.join(_named(rows, parts).select("row", "row2", "component", "component_id"), ["row", "row2"], "left")
-
-
-def _with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs with `__tf_` columns row and row2, the id of each text's set; null where it is empty."""
-    bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"{OWN}row", T.LongType()), T.StructField(f"{OWN}row2", T.LongType())])
-
-    def run(batches):
-        shingles = Shingler(width)
-        for batch in batches:
-            names = [set_id(tokens) if len(tokens) else (None, None) for tokens in shingles.batch(batch.column(at))]
-            arrays = [*batch.columns, *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, f"{OWN}row", f"{OWN}row2"])
-
-    return docs.mapInArrow(run, schema)
+    placed = from_lists.member.select("head", "row", "n").join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    placed = stash(placed, "ngram-placed")
+    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("head")
+    meeting = from_lists.in_blocks(placed.join(mixed, "head", "left_semi"))
+    live = meeting.join(from_lists.heads, "row").groupBy("head", "x", "y").applyInArrow(_group_live(percent), "head long, x int, y int, row long")
+    live = stash(live, "ngram-live")
+    if live.take(1):
+        sets = from_lists.vectors(live.select("row"), False)
+        forests = stash(live.join(sets, "row").groupBy("head", "x", "y").applyInArrow(_group_forest(percent), "a long, b long"), "ngram-forests")
+        if forests.take(1):
+            parts = components(links.union(_ordered(forests)))
+        release(sets, forests)
+    release(links, placed, live)
+    from_lists.done()
+    return from_lists.rows.join(_named(from_lists.rows, parts).select("row", "row2", "component", "component_id"), ["row", "row2"], "left")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the least doc_id, and those without words; the same columns.
 
     Rows without a doc_id stay only where their component has no other; then one of them does. Rows of one doc_id
-    count as one document only where their texts are in one component, or both without words.
+    count as one document only where their texts are in one component, or both without words; of texts that differ
+    there the one with the least digest stays. Rows with neither a doc_id nor words all stay.
     """
-    names = [f"{OWN}{c}" for c in ("id", "row", "row2")]
     found = _placed(docs, width, percent)
-    sets = found.groupBy("component", "doc_id", F.when(F.col("n") > 0, F.col("row")).alias("row"), F.when(F.col("n") > 0, F.col("row2")).alias("row2")).agg(F.count(F.lit(1)).alias("copies"))
-    sets = stash(sets, "ngram-sets")
-    first = sets.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "copies")).alias("k"))
-    kept = stash(first.select("k.doc_id", "k.row", "k.row2", "k.copies").union(sets.where("component IS NULL").select("doc_id", "row", "row2", "copies")), "ngram-kept")
-    marked = _with_sets(docs, width).withColumn(names[0], F.col("doc_id").cast("long"))
-    same = [F.col(n).eqNullSafe(F.col(f"{n}_kept")) for n in names]
-    out = marked.join(kept.select(*(F.col(c).alias(f"{n}_kept") for c, n in zip(("doc_id", "row", "row2"), names, strict=True))), same[0] & same[1] & same[2], "left_semi")
-    if kept.where("copies > 1 AND (doc_id IS NOT NULL OR row IS NOT NULL)").take(1):
-        # rows with neither an id nor words are documents of their own
-        alone = F.when(F.col(names[0]).isNull() & F.col(names[1]).isNull(), F.monotonically_increasing_id())
-        out = out.withColumn(f"{OWN}alone", alone).dropDuplicates([*names, f"{OWN}alone"]).drop(f"{OWN}alone")
-    return out.drop(*names)
+    classes = found.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("copies"))
+    classes = stash(classes.where("component IS NOT NULL OR doc_id IS NOT NULL"), "ngram-classes")
+    first = classes.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "copies")).alias("k"))
+    name = lambda i, c: F.unhex(F.md5(F.concat_ws(" ", F.coalesce(i.cast("string"), F.lit("none")), F.coalesce(F.hex(c), F.lit("none")))))
+    kept = first.select("k.*").union(classes.where("component IS NULL").selectExpr("false", "doc_id", "content", "copies"))
+    kept = stash(kept.select(name(F.col("doc_id"), F.col("content")).alias(f"{OWN}name"), "copies"), "ngram-kept")
+    release(classes)
+
+    content = _class_key(F.col("text").cast("string"))
+    marked = docs.withColumn(f"{OWN}name", name(F.col("doc_id").cast("long"), content))
+    nameless = F.col("doc_id").isNull() & content.isNull()
+    out = marked.where(~nameless).join(kept, f"{OWN}name", "left_semi")
+    if kept.where("copies > 1").take(1):
+        out = out.dropDuplicates([f"{OWN}name"])
+    rest = marked.where(nameless)
+    return out.select(*(out[c] for c in (f"`{c}`" for c in rest.columns))).union(rest).drop(f"{OWN}name")
 
 
 def digest(docs: DataFrame) -> DataFrame:
