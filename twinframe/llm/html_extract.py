@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -93,6 +94,7 @@ def parse(source: str) -> Page:
     """The page's tree of block elements; node 0 is the page itself."""
     nodes = [Node("html", -1)]
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # tag -> depths of its open elements, so that nothing is looked for in vain
     titles, links = [], []
     linked_in = -1  # the node in which a link is open
     link_text: list[str] = []
@@ -114,7 +116,10 @@ def parse(source: str) -> Page:
 
     def pop(depth: int) -> None:
         while len(stack) > depth:
-            if stack.pop() == linked_in:
+            last = stack.pop()
+            if last:
+                open_at[nodes[last].tag].pop()
+            if last == linked_in:
                 end_link()
 
     while at < end:
@@ -134,11 +139,8 @@ def parse(source: str) -> Page:
             if tag == "a":
                 if linked_in >= 0:
                     end_link()
-            elif tag in BLOCKS and tag not in ("html", "body"):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        pop(depth)
-                        break
+            elif tag in BLOCKS and tag not in ("html", "body") and open_at.get(tag):
+                pop(open_at[tag][-1])
             continue
         if tag == "a":
             if linked_in >= 0:
@@ -164,25 +166,23 @@ def parse(source: str) -> Page:
         elif tag in BLOCKS:
             if tag == "html":
                 continue
-            if tag == "body" or nodes[stack[-1]].tag == "head":
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == "head":
-                        pop(depth)
+            if (tag == "body" or nodes[stack[-1]].tag == "head") and open_at.get("head"):
+                pop(open_at["head"][0])
             if nodes[stack[-1]].tag == "p":
                 pop(len(stack) - 1)
             if tag in CLOSES:
                 ended, bounds = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag in bounds:
-                        break
-                    if nodes[stack[depth]].tag in ended:
-                        pop(depth)
+                bound = max((open_at[b][-1] for b in bounds if open_at.get(b)), default=0)
+                first = min((of[k] for e in ended if (of := open_at.get(e)) and (k := bisect_right(of, bound)) < len(of)), default=0)
+                if first:
+                    pop(first)
             node = Node(tag, stack[-1])
             if attributes:
                 _attributes(node, attributes)
             nodes.append(node)
             nodes[stack[-1]].parts.append(len(nodes) - 1)
             if tag not in VOID:
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     pop(0)
     if linked_in >= 0:
@@ -276,21 +276,29 @@ def _prose(text: str) -> bool:
     return len(text) >= 40 and text.rstrip("\"'”’»)")[-1:] in tuple(".!?…:;。！？")
 
 
-def _at_edge(nodes: list[Node], blocks: list[tuple[int, str, int]], article: int, at: int) -> bool:
-    """Whether a link list begins or ends an article's text, and no heading or line with a colon leads to it."""
+class _Edges:
+    """Tells whether a link list begins or ends an article's text, and no heading or line with a colon leads to it."""
 
-    def below(node: int, top: int) -> bool:
-        while node > top:
-            node = nodes[node].parent
-        return node == top
+    def __init__(self, nodes: list[Node], blocks: list[tuple[int, str, int]], article: int):
+        self.nodes, self.blocks = nodes, blocks
+        # blocks below an element follow each other: the first and the last of them
+        self.first, self.last = [len(blocks)] * len(nodes), [-1] * len(nodes)
+        for k, (node, _, _) in enumerate(blocks):
+            self.first[node], self.last[node] = min(k, self.first[node]), k
+        for i in range(len(nodes) - 1, 0, -1):
+            up = nodes[i].parent
+            self.first[up], self.last[up] = min(self.first[up], self.first[i]), max(self.last[up], self.last[i])
+        self.begin, self.end = self.first[article], self.last[article]
+        prose = [k for k in range(self.begin, self.end + 1) if blocks[k][2] <= LINK_LIST * len(blocks[k][1])]
+        self.prose = (prose[0], prose[-1]) if prose else (self.end + 1, -1)
 
-    here = [(below(node, at), node, text, links) for node, text, links in blocks if below(node, article)]
-    first = next(k for k, b in enumerate(here) if b[0])
-    last = max(k for k, b in enumerate(here) if b[0])
-    prose = lambda part: any(links <= LINK_LIST * len(text) for _, _, text, links in part)
-    if first and (nodes[here[first - 1][1]].tag in HEADINGS or here[first - 1][2].endswith((":", "："))):
-        return False
-    return not prose(here[:first]) or not prose(here[last + 1 :])
+    def __call__(self, at: int) -> bool:
+        first, last = self.first[at], self.last[at]
+        if first > self.begin:
+            node, text, _ = self.blocks[first - 1]
+            if self.nodes[node].tag in HEADINGS or text.endswith((":", "：")):
+                return False
+        return not self.prose[0] < first or not self.prose[1] > last
 
 
 def _choose(nodes: list[Node], dropped: list[bool]) -> list[str]:
@@ -325,12 +333,13 @@ def _choose(nodes: list[Node], dropped: list[bool]) -> list[str]:
                     kept.add(part)
     inside, header = [False] * len(nodes), [False] * len(nodes)
     gone = list(dropped)
+    at_edge = _Edges(nodes, blocks, around) if around >= 0 else None
     for i, n in enumerate(nodes):
         inside[i] = i in kept or i > 0 and inside[n.parent]
         header[i] = n.tag == "header" or i > 0 and header[n.parent]
         if inside[i] and i not in kept and n.tag in ("ul", "ol", "div", "section", "table", "dl") and lists[i] >= 3 and linked[i] > LINK_LIST * size[i]:
             # an explicit article's own lists stay; what is marked as navigation went before
-            gone[i] = around < 0 or header[i] or _at_edge(nodes, blocks, around, i)
+            gone[i] = at_edge is None or header[i] or at_edge(i)
         gone[i] = gone[i] or i > 0 and gone[n.parent]
     return [t for node, t, _ in blocks if inside[node] and not gone[node]]
 
