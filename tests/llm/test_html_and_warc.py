@@ -2,7 +2,9 @@ import base64
 import hashlib
 import json
 import re
+import time
 from html import unescape
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import Row
@@ -115,3 +117,101 @@ def test_an_articles_own_link_list_stays():
         got = h.main_text(f"<body><{tag}><header>{items}</header>{BODY}{items}<p>More, after that.</p><h2>References</h2>{items}<nav>{items}</nav></{tag}></body>")
         assert got == f"{TEXT}\n{listed}\nMore, after that.\nReferences\n{listed}"
     assert listed not in h.main_text(f"<body><div>{BODY}{items}</div></body>")
+
+
+PAGES = "/root/testdata/sf0.001/pages.parquet"
+
+
+class Plain(HTMLParser):
+    """The blocks of a well-formed page, in a plainer way: text between any two block tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.hidden = [], "", []
+
+    def flush(self):
+        if got := " ".join(self.text.split()):
+            self.blocks.append(got)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag in h.BLOCKS:
+            self.flush()
+        if self.hidden:
+            self.hidden += [tag] * (tag == self.hidden[0])
+        elif tag in h.RAW | {"head", "template"} or tag in h.BLOCKS and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower())):
+            self.hidden = [tag]
+        elif tag == "br":
+            self.text += " "
+
+    def handle_endtag(self, tag):
+        if tag in h.BLOCKS:
+            self.flush()
+        if self.hidden and tag == self.hidden[0]:
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+
+
+def test_visible_text_like_a_plain_parser(spark):
+    for row in spark.read.parquet(PAGES).collect():
+        plain = Plain()
+        plain.feed(row.html or "")
+        plain.close()
+        plain.flush()
+        assert h.visible_text(h.parse(row.html or "")) == "\n".join(plain.blocks), row.page_id
+
+
+def test_scores_like_their_definition(spark):
+    for row in spark.read.parquet(PAGES).limit(25).collect():
+        nodes = h.parse(row.html or "").nodes
+        blocks = h._blocks(nodes, 0, h._dropped(nodes, True))
+        chain = lambda i: [i, *chain(nodes[i].parent)] if i >= 0 else []
+        scores, size, linked, _ = h._scores(nodes, blocks)
+        for i in range(len(nodes)):
+            below = [(n, t, k) for n, t, k in blocks if i in chain(n)]
+            points = 0.0
+            for n, t, _ in below:
+                level = chain(n if nodes[n].tag in ("html", "body", "div", "section", "article", "main", "td") else nodes[n].parent)
+                if len(t) >= 25 and i in level[:8]:
+                    worth = 1 + sum(t.count(c) for c in ",，、") + min(len(t) // 100, 3)
+                    points += worth * [1, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15, 1 / 18, 1 / 21][level.index(i)]
+            letters = sum(len(t) for _, t, _ in below)
+            assert size[i] == letters and linked[i] == sum(k for *_, k in below)
+            assert abs(scores[i] - (points * (1 - linked[i] / letters) if letters else 0)) < 1e-9
+
+
+def test_time_grows_with_the_page():
+    n = 30_000
+    pages = ["<div>" * n + "<li>" * n, "<div>" * n + "</p>" * n, "<div>" * n + "<p>x</section>" * n, "<head>" * n + "<body>" * n, "<table>" + "<tr><td>" * n, "<dl>" * n + "<dt>a<dd>b" * n, "<article>" + (BODY + MENU) * (n // 20) + "</article>"]
+    began = time.process_time()
+    for page in pages:
+        h.main_text(page)
+        h.visible_text(h.parse(page))
+    assert time.process_time() - began < 60  # a walk of the stack for each tag would take hours
+
+
+def test_closing_tags_end_what_they_should():
+    text = lambda page: h.visible_text(h.parse(page))
+    assert text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "a\nb\nc\nd"
+    assert h.parse("<ul><li>a<div><li>b</ul>").nodes[4].parent == 1  # an inner div doesn't shield the open item
+    assert h.parse("<table><tr><td>a<tr><td>b</table>").nodes[4].parent == 1
+    assert h.parse("<ul><li>a<ul><li>b</ul><li>c</ul>").nodes[5].parent == 1
+    assert h.main_text("</p></div>x</li>") == "x"
+
+
+def test_large_and_damaged_files_are_read_record_by_record():
+    rng = __import__("random").Random(1)
+    one = w.record_bytes({"WARC-Type": "resource", "Content-Length": "3000"}, rng.randbytes(3000))
+    data = one * 8000
+    began = time.process_time()
+    assert sum(len(block) for _, block in w.parse_records(data)) == 3000 * 8000
+    assert time.process_time() - began < 20
+    first = next(w.parse_records(data + b"junk"))
+    assert len(first[1]) == 3000
+    assert len(list(w.parse_records(one + b"\0\0 padding"))) == 1 and len(list(w.parse_records(one + one[: len(one) // 2]))) == 2
+    plain = b"WARC/1.0\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.0\r\nContent-Length: x\r\n\r\n"
+    assert [b for _, b in w.parse_records(plain)] == [b"abcde", b""] and list(w.parse_records(b"")) == [] and list(w.parse_records(b"WARC/1.0\r\nA: b")) == []

@@ -8,8 +8,8 @@ target and date, carry its payload digest (WARC-Refers-To-Payload-Digest) and ha
 digests of their own. Record ids are derived from the source's id, so that rebuilding a
 lost part gives the same records.
 
-Scale: responses are independent; one pass without a shuffle. `read_records` parses
-whole files with Spark's binary source; `write_records` gives each record's bytes, one
+Scale: responses are independent; one pass without a shuffle. `read_records` gets
+whole files from Spark's binary source, of 2 GB at most, and parses them record by record; `write_records` gives each record's bytes, one
 gzip member each, so that records can be joined to files in any order.
 
 Defined cases: null pages or urls give an empty payload or target; a block that isn't
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import re
 import uuid
@@ -32,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import BATCH_BYTES, bounded_batches, lean
 from .html_extract import parse, visible_text
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
+GZIP = b"\x1f\x8b"  # fixed value: how a gzip member begins
+#: Bytes read, or decompressed, at a time.
+CHUNK = 1 << 16
 CAPTURED = "2024-01-01T00:00:00Z"
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
@@ -136,7 +140,7 @@ def _derivatives(frame: DataFrame, key: str, key_kind: str, load) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[key, *names])
 
     bounded_batches(frame.sparkSession)
-    return frame.mapInArrow(run, f"{key} {key_kind}, {FIELDS}")
+    return frame.mapInArrow(lean(run), f"{key} {key_kind}, {FIELDS}")
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
@@ -162,38 +166,87 @@ def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, plain or with a gzip member per record."""
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        yield from parse_records(member.decompress(data) + member.flush())
+def _plain(source: io.RawIOBase) -> Iterator[bytes]:
+    """A file's bytes as they are or, if it is gzip, those of its members one after the other."""
+    data = source.read(CHUNK)
+    if data[:2] != GZIP:
+        while data:
+            yield data
+            data = source.read(CHUNK)
+        return
+    member = zlib.decompressobj(31)
+    while data:
+        got = member.decompress(data, CHUNK)
+        if got:
+            yield got
+        if not member.eof:
+            data = member.unconsumed_tail or source.read(CHUNK)
+            continue
         data = member.unused_data
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        if len(data) < 2:
+            data += source.read(CHUNK)
+        if data[:2] != GZIP:  # what follows the last member
             return
+        member = zlib.decompressobj(31)
+
+
+def parse_records(source: bytes | io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a WARC file, plain or with a gzip member per record.
+
+    Reads on as records are asked for: no more than a record and a chunk are held. A record cut off
+    at the end has the block that there is; one whose headers are cut off is none.
+    """
+    chunks, held = _plain(io.BytesIO(source) if isinstance(source, bytes) else source), bytearray()
+
+    def more() -> bool:
+        got = next(chunks, b"")
+        held.extend(got)
+        return bool(got)
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        del held[:at]
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                return
         headers: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             headers[k.strip()] = v.strip()
-        length = int(headers.get("Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+        stated = headers.get("Content-Length", "")
+        last = end + 4 + (int(stated) if stated.isascii() and stated.isdigit() else 0)
+        while len(held) < last and more():
+            pass
+        yield headers, bytes(held[end + 4 : last])
+        del held[:last]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, headers, block) of all records of the WARC files below path."""
+    """(path, headers, block) of all records of the WARC files below path; a file is read by one task, its records leave it in small batches."""
 
     def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, json.dumps(h, ensure_ascii=False), b) for h, b in parse_records(content)]
-                columns = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], names=["path", "headers", "block"])
+        def made(path, rows):
+            return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([json.dumps(h, ensure_ascii=False) for h, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.binary())], names=["path", "headers", "block"])
 
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, size = [], 0
+                for record in parse_records(pa.BufferReader(content.as_buffer())):
+                    rows.append(record)
+                    size += len(record[1])
+                    if len(rows) >= 512 or size >= BATCH_BYTES:
+                        yield made(path, rows)
+                        rows, size = [], 0
+                yield made(path, rows)
+
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, headers string, block binary")
+    return files.mapInArrow(lean(run), "path string, headers string, block binary")
 
 
 def write_records(derived: DataFrame) -> DataFrame:
