@@ -39,9 +39,10 @@ def fixture():
     return docs, items
 
 
-@pytest.mark.parametrize("chunk_words", [400, d.CHUNK_WORDS])
-def test_like_brute_force(spark, chunk_words):
+@pytest.mark.parametrize(("chunk_words", "parts"), [(15, 10), (d.CHUNK_WORDS, 1)])
+def test_like_brute_force(spark, chunk_words, parts):
     docs, items = fixture()
+    assert parts <= d._parted(spark.createDataFrame(items, "item_id long, text string"), chunk_words)[1] < 2 * parts
     got = d.digest(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), chunk_words).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(brute(docs, items), key=key)

@@ -6,9 +6,11 @@ read so far that occurs in some item. Where that length reaches the window, the
 `window` words are a window of an item; which items have it is stored at the state
 that holds the window. Items shorter than the window count as one window each.
 
-Scale: documents are never shuffled. The items' tokens are counted first and dealt
-into chunks of at most CHUNK_WORDS words, so that what is broadcast has a fixed bound;
-every chunk is another pass over the batch, which gives the same result as one pass.
+Scale: a benchmark of up to CHUNK_WORDS words is one automaton, and documents are never shuffled.
+A larger one is dealt into parts of about so many words, whose words are counted before they are
+fetched. The parts are scanned one after the other, each with a pass over the texts: one automaton
+is alive at a time, on the driver and in the workers. Hits are written out by the text's digest,
+once for equal texts, and meet the documents in one join. Results are those of one automaton.
 
 Defined cases: a null or empty text has no words and no hits; null or empty items
 have no windows; equal items and repeated item ids count once per id; repeated
@@ -21,11 +23,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, append_columns, text_frame
+from .common import OWN, append_columns, bounded_batches, lean, stash, text_frame
 
 WINDOW = 13
 #: Share of a document's words above which the whole document goes.
@@ -161,51 +164,75 @@ def build(items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> Suf
     return automaton
 
 
-def _chunks(benchmark: DataFrame, chunk_words: int) -> Iterable[list[tuple[str, list[bytes]]]]:
-    """The items in parts whose words are counted before they are fetched."""
+def _parted(benchmark: DataFrame, chunk_words: int) -> tuple[DataFrame, int]:
+    """The items, and into how many parts they are dealt; words are counted before any text is fetched."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = F.floor(F.length("text") / 2) + 1  # no text has more words
-    total = items.agg(F.sum(size)).first()[0] or 0
-    parts = max(1, -(-total // chunk_words))
-    for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield [(r.item, plain_words(r.text.encode())) for r in part.toLocalIterator()]
+    return items, max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // chunk_words))
+
+
+def _shipped(items: DataFrame, parts: int, k: int, window: int):
+    """The automaton of the items of part k, as a broadcast."""
+    part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+    return items.sparkSession.sparkContext.broadcast(build(((r.item, plain_words(r.text.encode())) for r in part.toLocalIterator()), window))
+
+
+_SPANS, _ITEMS = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """docs with `__tf_n_words`, `__tf_spans` (hit word ranges, end exclusive) and `__tf_items` (ids as strings)."""
-    context = docs.sparkSession.sparkContext
-    fields = [T.StructField(f"{OWN}n_words", T.LongType()), T.StructField(f"{OWN}spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField(f"{OWN}items", T.ArrayType(T.StringType()))]
+    items, parts = _parted(benchmark, chunk_words)
+    if parts > 1:
+        return _scan_by_parts(docs, items, parts, window)
+    shipped = _shipped(items, 1, 0, window)
+
+    def make():
+        automaton = shipped.value
+
+        def compute(texts):
+            words = [plain_words(text or b"") for text in texts]
+            found = [automaton.scan(w) for w in words]
+            return [[len(w) for w in words], [spans for spans, _ in found], [sorted(who) for _, who in found]]
 
-    def maker(shipped):
-        def make():
+        return compute
+
+    return append_columns(docs, "text", [T.StructField(f"{OWN}n_words", T.LongType()), T.StructField(f"{OWN}spans", _SPANS), T.StructField(f"{OWN}items", _ITEMS)], make)
+
+
+def _scan_by_parts(docs: DataFrame, items: DataFrame, parts: int, window: int) -> DataFrame:
+    """The same for a benchmark of several parts: one automaton at a time, whose hits are written out by the text's digest."""
+    content, spans, who = f"{OWN}content", f"{OWN}spans", f"{OWN}items"
+    text = F.col("text").cast("string")
+    texts = docs.select(F.md5(text).alias(content), text.alias("text")).where("text IS NOT NULL")
+    bounded_batches(docs.sparkSession)
+
+    def hits_of(shipped):
+        def run(batches):
             automaton = shipped.value
+            for batch in batches:
+                rows = []
+                for digest, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                    found, ids = automaton.scan(plain_words(value))
+                    if found:
+                        rows.append((digest, found, sorted(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())))], names=[content, spans, who])
 
-            def compute(texts):
-                counts, spans, items = [], [], []
-                for text in texts:
-                    words = plain_words(text or b"")
-                    got, who = automaton.scan(words)
-                    counts.append(len(words))
-                    spans.append(got)
-                    items.append(sorted(who))
-                return [counts, spans, items]
-
-            return compute
-
-        return make
-
-    out, extra = docs, []
-    for k, items in enumerate(_chunks(benchmark, chunk_words)):
-        named = [T.StructField(f"{f.name}{k}", f.dataType) for f in fields]
-        out = append_columns(out, "text", named, maker(context.broadcast(build(items, window))))
-        extra += [f.name for f in named]
-    if k:
-        merge = F.pandas_udf(_merged, T.ArrayType(T.ArrayType(T.LongType())))
-        spans = merge(F.concat(*(F.col(f"{OWN}spans{i}") for i in range(k + 1))))
-    else:
-        spans = F.col(f"{OWN}spans0")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{OWN}n_words0").alias(f"{OWN}n_words"), spans.alias(f"{OWN}spans"), F.array_sort(F.array_distinct(F.concat(*(F.col(f"{OWN}items{i}") for i in range(k + 1))))).alias(f"{OWN}items"))
+        return lean(run)
+
+    found = None
+    for k in range(parts):
+        shipped = _shipped(items, parts, k, window)
+        hits = texts.mapInArrow(hits_of(shipped), T.StructType([T.StructField(content, T.StringType()), T.StructField(spans, _SPANS), T.StructField(who, _ITEMS)]))
+        hits = stash(hits.groupBy(content).agg(F.first(spans).alias(spans), F.first(who).alias(who)), "benchmark-hits")
+        shipped.destroy()
+        found = hits if found is None else found.union(hits)
+    merge = F.pandas_udf(_merged, _SPANS)
+    found = found.groupBy(content).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(who)))).alias(who)).withColumn(spans, merge(spans))
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.withColumn(content, F.md5(text)).join(found, content, "left")
+    none = lambda kind: F.from_json(F.lit("[]"), kind)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.regexp_count(lower, F.lit(_WORD.pattern)), F.lit(0)).cast("long").alias(f"{OWN}n_words"), F.coalesce(spans, none(_SPANS)).alias(spans), F.coalesce(who, none(_ITEMS)).alias(who))
 
 
 def _merged(ranges):
@@ -241,8 +268,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     counted = "n_chars" in keep
 
     def cut(batches):
-        import pyarrow as pa
-
         for batch in batches:
             spans = batch.column(spans_at).to_pylist()
             if any(spans):
@@ -255,7 +280,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     batch = batch.set_column(k, "n_chars", pa.array([len(t) if s else o for t, s, o in zip(texts, spans, old, strict=True)], batch.column(k).type))
             yield batch.select(keep)
 
-    return found.mapInArrow(cut, T.StructType([T.StructField(c, kinds[c]) for c in keep]))
+    return found.mapInArrow(lean(cut), T.StructType([T.StructField(c, kinds[c]) for c in keep]))
 
 
 def without(text: str, spans: list[list[int]]) -> str:
