@@ -63,3 +63,21 @@ def test_columns_repeats_and_empty_tables(spark):
     none = spark.createDataFrame(rows).limit(0)
     assert d.digest(none).count() == 0
     assert d.digest(spark.createDataFrame(rows[3:], "doc_id long, text string, n_lines string, d long")).collect()[0].text == "own\nalone"
+
+
+def test_a_hot_rank_is_numbered_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(d, "RANK_CELLS", 5)
+    rng = random.Random(6)
+    hot = "hot line " * 6
+    tails = [f"tail {k} " * 20 for k in range(30)]
+    docs = [(i, "\n".join([hot, rng.choice(tails), hot, rng.choice(tails)])) for i in range(60)]
+    key = lambda r: tuple(map(str, r))
+    got = d.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(docs), key=key)
+
+
+def test_very_long_documents(spark):
+    lines = [f"line {i} of many" for i in range(8_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "own\n" + "\n".join(lines) + "\nend")], "doc_id long, text string")
+    got = {r.doc_id: r for r in d.digest(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 8_000 and got[2].text == "own\nend"

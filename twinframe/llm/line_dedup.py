@@ -15,7 +15,7 @@ are found, however long the runs are, with ranks for no more than min_words line
 log2(min_words) rounds. Copies that come later, by doc_id and line, lose these lines.
 
 Scale: DataFrame operations only. Rounds work on lines of runs that can still count.
-Ranks are summed up over cells of the sorted order and within intervals of distinct pairs,
+Ranks are summed up over cells of the sorted order, and within cells of an interval's distinct pairs,
 never over all rows in one task; a line that a third of all documents share is one row there,
 and meets its lines in a join, which Spark may split. Classes are written out between rounds.
 
@@ -27,7 +27,7 @@ an empty table; in `dedup` other columns stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, stash
@@ -36,6 +36,8 @@ MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Sorted order is cut into 2**CELL_BITS cells by the leading bits of a line's hash.
 CELL_BITS = 12
+#: What follows the suffixes of one rank is numbered in so many cells.
+RANK_CELLS = 64
 _KEY = ["d", "h"]
 
 
@@ -66,13 +68,19 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     return classes.withColumn("within", within).join(F.broadcast(starts), "cell").select("id", (F.col("start") + F.col("within")).alias("r"))  # 2**CELL_BITS rows
 
 
-def _doubled(ranks: DataFrame, step: int) -> DataFrame:
-    """Ranks of runs of 2 * step lines from those of step lines; runs that occur once go."""
+def _doubled(ranks: DataFrame, step: int, most: int) -> DataFrame:
+    """Ranks of runs of 2 * step lines from those of step lines, which are `most` at most; runs that occur once go.
+
+    A rank's pairs are numbered in cells of the second rank, and cells by their sums: a line that
+    very many different lines follow isn't one task's work.
+    """
     ahead = F.first("r").over(Window.partitionBy(*_KEY).orderBy("i").rangeBetween(step, step))
     pairs = ranks.withColumn("next", ahead).where("next IS NOT NULL")
     classes = pairs.groupBy("r", "next").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    placed = classes.select("r", "next", (F.col("r") + F.coalesce(F.sum("c").over(_before("r").orderBy("next")), F.lit(0))).alias("to"))
-    placed = stash(placed, "line-pairs")
+    classes = stash(classes.withColumn("cell", F.floor(F.col("next") * RANK_CELLS / (most + 1)).cast("int")), "line-pairs")
+    starts = classes.groupBy("r", "cell").agg(F.sum("c").alias("n")).select("r", "cell", F.coalesce(F.sum("n").over(_before("r").orderBy("cell")), F.lit(0)).alias("start"))
+    within = classes.withColumn("within", F.coalesce(F.sum("c").over(_before("r", "cell").orderBy("next")), F.lit(0)))
+    placed = within.join(starts, ["r", "cell"]).select("r", "next", (F.col("r") + F.col("start") + F.col("within")).alias("to"))
     return pairs.join(placed, ["r", "next"]).select(*_KEY, "i", F.col("to").alias("r"))
 
 
@@ -93,7 +101,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = known.withColumn("run", F.col("i") - F.dense_rank().over(order))
     held = Window.partitionBy(*_KEY, "run")
     runs = runs.withColumn("held", F.sum("w").over(held)).where(F.col("held") >= min_words).drop("held")
-    runs = stash(runs, "line-runs")
+    seen = Observation()
+    runs = stash(runs.observe(seen, F.max("r").alias("most")), "line-runs")
+    most = seen.get["most"] or 0
 
     along = Window.partitionBy(*_KEY, "run").orderBy("i")
     reach = min_words - 1
@@ -111,7 +121,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k in range(top + 1):
         levels.append(rank.withColumn("k", F.lit(k)))
         if k < top:
-            rank = stash(_doubled(rank, 2**k), "line-level")
+            rank = stash(_doubled(rank, 2**k, most), "line-level")
     table = levels[0]
     for more in levels[1:]:
         table = table.union(more)
@@ -137,7 +147,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # what was removed grows with the documents: a merge join at every size, never a broadcast
     rows = docs.withColumns({f"{OWN}d": d, f"{OWN}h": h}).join(per_doc.hint("merge"), [f"{OWN}d", f"{OWN}h"], "left")
     parts, pos = F.split(F.col("text").cast("string"), "\n", -1), F.col(f"{OWN}pos")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(pos, i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), pos)  # by hash: linear in the lines
+    kept = F.transform(F.array(F.struct(parts.alias("parts"), left.alias("left"))), lambda s: F.array_join(F.transform(s["left"], lambda i: s["parts"][i]), "\n"))[0]
     count = F.coalesce(F.size(parts), F.lit(0))
     return rows.select(
         *(F.when(pos.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
