@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, append_columns, salted_cells, space_words, stash
+from .common import OWN, bounded_batches, lean, salted_cells, stash
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, OUTPUT_SHARDS, SEED = 256, 64, 20_011
 CELL_ROWS = 5_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _U = np.uint64
 
@@ -186,7 +187,7 @@ def _slots(spark, sources: list[Source], counts: np.ndarray, block_words: int) -
 
     total = int(counts.sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000))
-    return spark.range(0, total, 1, min(parts, max(1, total // 1000))).mapInArrow(run, f"shard int, place long, {OWN}key string, block long, take long, turn int")
+    return spark.range(0, total, 1, min(parts, max(1, total // 1000))).mapInArrow(lean(run), f"shard int, place long, {OWN}key string, block long, take long, turn int")
 
 
 def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS) -> tuple[DataFrame, list[Source]]:
@@ -214,10 +215,8 @@ def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_S
 def sized(docs: DataFrame) -> DataFrame:
     """docs with `__tf_` size (words), hash and row; row numbers hold once the table is written."""
 
-    def make():
-        return lambda texts: [[len(space_words(t or b"")) for t in texts]]
-
-    return append_columns(docs, "text", [T.StructField(f"{OWN}size", T.LongType())], make).withColumns({f"{OWN}hash": F.xxhash64("text"), f"{OWN}row": F.monotonically_increasing_id()})
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(_WORD.pattern))
+    return docs.withColumns({f"{OWN}size": F.coalesce(words, F.lit(0)).cast("long"), f"{OWN}hash": F.xxhash64("text"), f"{OWN}row": F.monotonically_increasing_id()})
 
 
 def _taken() -> Column:
@@ -238,9 +237,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return every.join(known, key).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def slices(text: str, ranges: list[tuple[int, int, int]]) -> list[str]:
     """The texts of word ranges (turn, from, to); ranges of a turn that touch become one."""
     merged: list[list[int]] = []
@@ -282,4 +278,5 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
                 out = out.set_column(k, "n_chars", pa.array([len(t) for t in texts], out.column(k).type))
             yield out
 
-    return joined.mapInArrow(cut, T.StructType([T.StructField(c, kinds[c]) for c in columns]))
+    bounded_batches(docs.sparkSession)
+    return joined.mapInArrow(lean(cut), T.StructType([T.StructField(c, kinds[c]) for c in columns]))
