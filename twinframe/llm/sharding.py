@@ -35,6 +35,8 @@ SHARDS = 24
 ROW_BYTES = 8
 #: Rows of one cell when groups or slots are numbered.
 CELL_ROWS = 5_000
+#: The search for the smallest capacity ends at this share of it: each step packs all groups anew.
+TOLERANCE = 100_000
 
 
 class BinTree:
@@ -105,7 +107,7 @@ def pack(sizes: list[int], counts: list[int], capacity: int, most: int | None =
 
 
 def pack_evenly(sizes: list[int], counts: list[int], shards: int) -> list[tuple[int, int, int, int]]:
-    """The packing into at most `shards` bins with the smallest capacity found by bisection."""
+    """The packing into at most `shards` bins with the smallest capacity found by bisection, to a part in TOLERANCE."""
     if not sizes:
         return []
     total = sum(s * n for s, n in zip(sizes, counts, strict=True))
@@ -114,7 +116,7 @@ def pack_evenly(sizes: list[int], counts: list[int], shards: int) -> list[tuple[
     if best is not None:
         return best
     best = pack(sizes, counts, high, shards)
-    while high - low > 1:
+    while high - low > max(1, low // TOLERANCE):
         middle = (low + high) // 2
         got = pack(sizes, counts, middle, shards)
         low, high, best = (middle, high, best) if got is None else (low, middle, got)
