@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from twinframe.llm import secrets as s
 
@@ -84,3 +86,63 @@ def test_keys_of_letters_only_are_found(spark):
 def test_padding_alone_is_no_candidate(spark):
     docs = spark.createDataFrame([(1, "=" * 30), (2, "1" + "=" * 25), (3, "a" + "=" * 25)], "doc_id long, text string")
     assert [r.spans for r in s.digest(docs).collect()] == ["", "", ""]
+
+
+def above(z):
+    t = 1 / (1 + 0.2316419 * abs(z))
+    tail = 0.3989422804014327 * math.exp(-z * z / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return tail if z >= 0 else 1 - tail
+
+
+def battery(token):
+    """(least p of the three tests times three, p against ordinary text, length) of one candidate."""
+    bare = token.rstrip("=")
+    alphabet = next(letters for pattern, letters in s.ENCODINGS if re.search(pattern, bare))
+    x, n, k = [alphabet.index(c) for c in bare], len(bare), len(alphabet)
+    squares = sum(v * v for v in Counter(x).values())
+    chi, free = k / n * squares - n, k - 1
+    uniform = above(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    high = [2 * v >= k for v in x]
+    a, b = sum(high), n - sum(high)
+    mean = 2 * a * b / n + 1
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
+    turns = 2 * above(abs((runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)))) if a > 1 and b > 1 else 0.0
+    middle = sum(x) / n
+    spread = sum((v - middle) ** 2 for v in x)
+    serial = 2 * above(abs(sum((p - middle) * (q - middle) for p, q in zip(x, x[1:])) / spread * math.sqrt(n))) if spread else 0.0
+    pairs, ordinary = n * (n - 1), max(2 / k, 0.065)
+    plain = above((ordinary - (squares - n) / pairs) / math.sqrt(2 * ordinary * (1 - ordinary) / pairs))
+    return min(1.0, 3 * min(uniform, turns, serial)), plain, n
+
+
+def brute_random(texts, rate=s.RATE):
+    """Spans of the kind random in each text: the battery, then the rule of the false discovery rate by classes of lengths."""
+    scored = []
+    for i, t in enumerate(texts):
+        base = brute(t)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            if len(m[0].rstrip("=")) > 1 and not any(b < m.end() and m.start() < e for b, _, e, _ in base):
+                random_p, plain, n = battery(m[0])
+                if random_p >= s.ALPHA:
+                    scored.append((sum(n >= least for least in s.LENGTHS[1:]), min(s.BINS - 1, math.floor(-10 * math.log10(max(plain, 1e-300)))), i, m.span()))
+    out = [[] for _ in texts]
+    for of in {x[0] for x in scored}:
+        mine = sorted((x for x in scored if x[0] == of), key=lambda x: -x[1])
+        good = [bin_ for _, bin_, *_ in mine if 10 ** (-bin_ / 10) <= rate * sum(y[1] >= bin_ for y in mine) / len(mine)]
+        for _, bin_, i, span in mine:
+            if good and bin_ >= min(good):
+                out[i].append(span)
+    return [sorted(x) for x in out]
+
+
+def test_whole_battery_like_plain_python(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["the", "tion", "er", "an", "ing", "re", "on", "_", "-", "/", "42"]) for _ in range(rng.randrange(6, 14)))
+    key = lambda: "".join(rng.choice(rng.choice(s.ENCODINGS)[1]) for _ in range(rng.randrange(18, 90)))
+    same = lambda: "".join(rng.choices(rng.choice(s.ENCODINGS)[1], k=rng.randrange(18, 90)))
+    texts = [" ".join(rng.choice([word, word, word, key, same])() for _ in range(rng.randrange(1, 9))) + rng.choice(["", "==", "."]) for _ in range(150)]
+    got = {r.doc_id: r for r in s.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wanted = brute_random(texts)
+    assert sum(map(len, wanted)) > 50
+    for i, spans in enumerate(wanted):
+        assert [x for x in got[i].spans.split(",") if x.startswith("random")] == [f"random:{a}:{b}" for a, b in spans], texts[i]
