@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
 kept. All but the last return the columns of documents; the last adds where each
 document goes. A stage's output is written as Parquet and read again by the next.
+
+Defined cases: quality_rules drops null, empty and short texts (fewer than 50 words); repeated rows are one
+document to ngram_jaccard_join, and rows without a doc_id go only if another of their component stays; documents
+without a source are a source of their own in source_mixing, whose repeats of a document are rows of their own;
+each stage gives an empty table for an empty one; columns beyond those of documents stay as they are, whatever
+their names. doc_id is a number. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm import decontaminate, line_quality, mixing, ngram_join, sharding
-from twinframe.llm.common import OWN, read, stash
+from twinframe.llm.common import OWN, read, release, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
