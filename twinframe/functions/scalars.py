@@ -40,6 +40,11 @@ def orientation_min(a, b) -> Column:
     return F.array_min(F.flatten(F.transform(_c(a), lambda x: F.transform(b, lambda y: hamming(x, y)))))
 
 
+def orientation_min_fixed(a, b, n: int = 8) -> Column:
+    """The same for arrays of n hashes at most, as one flat expression that Spark compiles."""
+    return F.least(*(hamming(F.get(_c(a), F.lit(i)), F.get(_c(b), F.lit(k))) for i in range(n) for k in range(n)))
+
+
 def frame_pct(a, b) -> Column:
     """Second best of a's frames, each by its best frame of b, in percent; not symmetric.
 
@@ -54,15 +59,23 @@ def median_hash(values) -> Column:
     """64 coefficients to a hash: bit i is set where value i exceeds the median of values 1 to 63."""
     values = _c(values)
     middle = F.element_at(F.array_sort(F.slice(values, 2, HASH_BITS - 1)), HASH_BITS // 2)
-    bits = F.transform(values, lambda x, i: F.when(x > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    none = F.lit(0).cast("long")
+
+    def packed(row: Column) -> Column:
+        bits = F.transform(row["values"], lambda x, i: F.when(x > row["middle"], F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(none))
+        return F.aggregate(bits, none, lambda acc, x: acc.bitwiseOR(x))
+
+    # as a row of its own the median is found once, not for every bit
+    return F.transform(F.array(F.struct(values.alias("values"), middle.alias("middle"))), packed)[0]
 
 
 def orientation_coefficients(values, transpose: bool, flip_rows: bool, flip_columns: bool) -> Column:
     """An 8 by 8 block of cosine coefficients as the flipped or turned picture would have it."""
     values = _c(values)
     grid = [(u, v) for u in range(8) for v in range(8)]
-    return F.array(*((-1 if (flip_rows and u % 2) != (flip_columns and v % 2) else 1) * values[(v * 8 + u) if transpose else (u * 8 + v)] for u, v in grid))
+    places = F.array(*(F.lit((v * 8 + u) if transpose else (u * 8 + v)) for u, v in grid))
+    signs = F.array(*(F.lit(-1 if (flip_rows and u % 2) != (flip_columns and v % 2) else 1) for u, v in grid))
+    return F.zip_with(places, signs, lambda k, s: s * values[k])
 
 
 def orientation_hashes(values) -> Column:
@@ -266,6 +279,27 @@ def bar_geometry(start, end, total) -> tuple[Column, Column]:
     return F.when(total > 0, offset), F.when(total > 0, width)
 
 
+def clip_note(source_name, start, end, mirrored) -> Column:
+    """The sentence under a clip that lies in a source."""
+    # The wording.
+    turned = F.when(_c(mirrored), ", espelhado").otherwise("")
+    return F.concat(F.lit("Este vídeo está dentro do "), _c(source_name), F.lit(" (de "), format_seconds(start), F.lit(" até "), format_seconds(end), turned, F.lit(")."))
+
+
+def source_note(n_clips) -> Column:
+    """The sentence under a source that holds clips."""
+    # The wording.
+    several = F.concat(F.lit("Este é o vídeo original. Os "), _c(n_clips).cast("string"), F.lit(" vídeos abaixo estão dentro dele."))
+    return F.when(_c(n_clips) == 1, "Este é o vídeo original. O vídeo abaixo está dentro dele.").otherwise(several)
+
+
+def compilation_note(n_sources) -> Column:
+    """The sentence under a compilation."""
+    # The wording.
+    several = F.concat(F.lit("Este vídeo foi montado com pedaços dos "), _c(n_sources).cast("string"), F.lit(" vídeos abaixo."))
+    return F.when(_c(n_sources) == 1, "Este vídeo foi montado com pedaços do vídeo abaixo.").otherwise(several)
+
+
 def clamped_span(offset, length, limit) -> tuple[Column, Column]:
     start = F.least(F.greatest(_c(offset), F.lit(0)), _c(limit))
     return start, F.least(F.greatest(_c(offset) + _c(length), start), _c(limit))

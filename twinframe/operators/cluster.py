@@ -6,14 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import dropped, written
+from .ranking import numbered
 
 COLOURS = 6
 
 
 def quality_ranked(items: DataFrame, score: Column, name: str = "rank") -> DataFrame:
     """Items numbered from 1 within their folder by falling score; ties by item_id."""
-    return items.withColumn(name, F.row_number().over(Window.partitionBy("folder").orderBy(score.desc(), "item_id")))
+    return numbered(items, ["folder"], [score.desc(), F.col("item_id")], name)
 
 
 def leader_clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,10 +34,12 @@ def leader_clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
         new = written(open_nodes.join(ends("high"), ["folder", "rank"], "left_anti"), "leaders")
         leaders = new if leaders is None else leaders.union(new)
         covered = state.join(new.withColumnRenamed("rank", "low"), ["folder", "low"], "left_semi").select("folder", F.col("high").alias("rank"))
+        before = open_nodes, state
         open_nodes = written(open_nodes.join(new.union(covered), ["folder", "rank"], "left_anti"), "open")
         for c in ("low", "high"):
             state = state.join(open_nodes.withColumnRenamed("rank", c), ["folder", c], "left_semi").select("folder", "low", "high")
         state = written(state, "edges")
+        dropped(*before)
     if leaders is None:
         return ranks.select("folder", "rank", F.col("rank").alias("leader")).limit(0)
     both = edges.select("folder", "low", "high").union(edges.select("folder", F.col("high").alias("low"), F.col("low").alias("high")))
@@ -64,7 +67,7 @@ def leader_clusters_asymmetric(ranks: DataFrame, edges: DataFrame) -> DataFrame:
                 taken.update(dict.fromkeys(free, r))
         return pd.DataFrame({"folder": pdf.folder.iloc[0], "rank": list(taken), "leader": list(taken.values())})
 
-    return edges.groupBy("folder").applyInPandas(run, "folder string, rank int, leader int")
+    return edges.groupBy("folder").applyInPandas(run, "folder string, rank long, leader long")
 
 
 def kept_and_selected(groups: DataFrame, by: list[str], score: Column, keep: str) -> DataFrame:
@@ -84,7 +87,7 @@ def selection_totals(items: DataFrame) -> DataFrame:
 
 def copy_colours(items: DataFrame, by: list[str]) -> DataFrame:
     """items with `colour`: equal digests within a group share one of six colours, in order of first place; single ones have none."""
-    same = Window.partitionBy(*by, "sha256")
-    first = items.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("first_place", F.min("item_id").over(same))
-    numbered = F.dense_rank().over(Window.partitionBy(*by, F.col("copies") > 1).orderBy("first_place"))
-    return first.withColumn("colour", F.when(F.col("copies") > 1, F.pmod(numbered - 1, F.lit(COLOURS)))).drop("first_place")
+    digests = items.groupBy(*by, "sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("item_id").alias("first_place"))
+    shared = numbered(digests.where("copies > 1").select(*by, "sha256", "first_place"), by, [F.col("first_place")], "place")
+    colours = shared.select(*by, "sha256", F.pmod(F.col("place") - 1, F.lit(COLOURS)).cast("int").alias("colour"))
+    return items.join(digests.drop("first_place"), [*by, "sha256"]).join(colours, [*by, "sha256"], "left")

@@ -1,17 +1,24 @@
-"""Pairs of items: candidates by folder or by bands of the hash, and their scores."""
+"""Pairs of items: candidates by folder or by near hashes, and their scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 
+#: Parts of a hash that candidates are looked up by.
+PARTS = 4
+_PART_BITS = fn.HASH_BITS // PARTS
+
 
 def folder_pairs(items: DataFrame, ordered: bool = True, condition: Column | None = None) -> DataFrame:
     """All pairs of items of a folder, as columns a and b: each once, or both ways round.
 
-    Needed where the score's radius is too wide for bands; quadratic in the folder.
+    Needed where the score's radius is too wide for lookups; quadratic in the folder, so items should be narrow.
     """
     a = items.select(F.col("folder"), F.struct(*items.columns).alias("a"))
     b = items.select(F.col("folder"), F.struct(*items.columns).alias("b"))
@@ -20,25 +27,37 @@ def folder_pairs(items: DataFrame, ordered: bool = True, condition: Column | Non
     return joined if condition is None else joined.where(condition)
 
 
-def band_values(hash_column: Column, radius: int) -> Column:
-    """The hash in radius + 1 bands: hashes within the radius are equal in one band at least."""
-    bands = radius + 1
-    edges = [fn.HASH_BITS * k // bands for k in range(bands + 1)]
-    return F.array(*(F.shiftrightunsigned(F.shiftleft(hash_column, fn.HASH_BITS - high), fn.HASH_BITS - high + low) for low, high in zip(edges, edges[1:], strict=False)))
+def _part(hash_column: Column, k: int) -> Column:
+    return F.shiftrightunsigned(hash_column, _PART_BITS * k).bitwiseAND(2**_PART_BITS - 1)
 
 
-def near_pairs(items: DataFrame, radius: int) -> DataFrame:
-    """(folder, item_a, item_b, distance) within the radius, by an equi-join on bands and an exact check.
+def near_hashes(a: DataFrame, b: DataFrame, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, hash_a, hash_b) of hashes within the radius; a and b are distinct rows (by, hash).
 
-    A pair that meets in several bands is taken in the first of them, so nothing is deduplicated.
+    Hashes within the radius differ in radius // 4 bits at most in one of their four parts. So a's parts
+    look up all values that near (137 for radius 10), b's parts stand under their own value: an equi-join.
+    A pair that meets in several parts is taken in the first of them. Beyond radius 11 the lookups outgrow their use.
     """
-    rows = items.select("folder", "item_id", "hash", F.posexplode(band_values(F.col("hash"), radius)).alias("band", "value"))
-    a = rows.select("folder", "band", "value", F.col("item_id").alias("item_a"), F.col("hash").alias("hash_a"))
-    b = rows.select("folder", "band", "value", F.col("item_id").alias("item_b"), F.col("hash").alias("hash_b"))
-    met = a.join(b, ["folder", "band", "value"]).where("item_a < item_b")
-    same = F.zip_with(band_values(F.col("hash_a"), radius), band_values(F.col("hash_b"), radius), lambda x, y: x == y)
-    first = F.array_position(same, True) - 1 == F.col("band")
-    return met.withColumn("distance", fn.hamming("hash_a", "hash_b")).where((F.col("distance") <= radius) & first).select("folder", "item_a", "item_b", "distance")
+    if radius == 0:
+        same = a.select(*by, F.col("hash").alias("hash_a"), F.col("hash").alias("value"))
+        return same.join(b.select(*by, F.col("hash").alias("hash_b"), F.col("hash").alias("value")), [*by, "value"]).drop("value")
+    most = radius // PARTS
+    masks = F.array(*(F.lit(sum(1 << x for x in bits)).cast("long") for n in range(most + 1) for bits in combinations(range(_PART_BITS), n)))
+    parts = lambda: F.posexplode(F.array(*(_part(F.col("hash"), k) for k in range(PARTS))))
+    asked = a.select(*by, F.col("hash").alias("hash_a"), parts().alias("part", "own")).select(*by, "hash_a", "part", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    stands = b.select(*by, F.col("hash").alias("hash_b"), parts().alias("part", "value"))
+    differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    earlier = reduce(lambda x, y: x | y, ((F.col("part") > k) & (F.bit_count(_part(differ, k)) <= most) for k in range(PARTS - 1)))
+    return asked.join(stands, [*by, "part", "value"]).where((F.bit_count(differ) <= radius) & ~earlier).select(*by, "hash_a", "hash_b")
+
+
+def near_pairs(items: DataFrame, radius: int) -> DataFrame:
+    """(folder, item_a, item_b, distance) within the radius: near hashes of the folder first, then the items that have them."""
+    rows = items.select("folder", "item_id", "hash")
+    hashes = rows.select("folder", "hash").distinct()
+    end = lambda n: rows.select("folder", F.col("item_id").alias(f"item_{n}"), F.col("hash").alias(f"hash_{n}"))
+    met = near_hashes(hashes, hashes, radius, ("folder",)).join(end("a"), ["folder", "hash_a"]).join(end("b"), ["folder", "hash_b"])
+    return met.where("item_a < item_b").select("folder", "item_a", "item_b", fn.hamming("hash_a", "hash_b").alias("distance"))
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -47,7 +66,9 @@ def exact_groups(items: DataFrame) -> DataFrame:
 
 
 def nearest_two(rows: DataFrame, partition: list[str], distance: str, tie: str, ratio: float = 0.75) -> DataFrame:
-    """The nearest neighbour of each partition whose distance is under ratio times the second's."""
-    two = rows.groupBy(*partition).agg(F.slice(F.array_sort(F.collect_list(F.struct(distance, tie))), 1, 2).alias("two"))
-    first, second = F.col("two")[0], F.try_element_at("two", F.lit(2))
-    return two.where(second.isNotNull() & (first[distance] < ratio * second[distance])).select(*partition, first[tie].alias(tie), first[distance].alias(distance))
+    """The nearest neighbour of each partition whose distance is under ratio times the second's; two rows of each are ever held."""
+    place = F.row_number().over(Window.partitionBy(*partition).orderBy(distance, tie))
+    two = rows.select(*partition, distance, tie, place.alias("place")).where("place <= 2")
+    of = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    both = two.groupBy(*partition).agg(of(distance, 1).alias(distance), of(tie, 1).alias(tie), of(distance, 2).alias("second"))
+    return both.where(F.col(distance) < ratio * F.col("second")).select(*partition, tie, distance)

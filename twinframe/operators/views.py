@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 ORDERS = ("file", "size", "length", "resolution", "bitrate", "audio", "match", "hash")
 
 
@@ -26,8 +28,8 @@ def order_keys(key: str) -> list[Column]:
 
 def ordered(items: DataFrame, key: str) -> DataFrame:
     """items with `pos` from 1 within their folder, stable by item_id; folders of one item keep none."""
-    here = Window.partitionBy("folder")
-    return items.withColumn("n", F.count(F.lit(1)).over(here)).where("n >= 2").drop("n").withColumn("pos", F.row_number().over(here.orderBy(*order_keys(key), "item_id")))
+    several = items.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("folder")
+    return numbered(items.join(several, "folder", "left_semi"), ["folder"], [*order_keys(key), F.col("item_id")], "pos")
 
 
 def nearest_chain(scored: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import cluster, persons, similarity, views
-from .bindings import BITS, PAIRS, PHOTOS, photo_pairs, photos, table
+from ..sources.store import written
+from .bindings import BITS, COPY_BASE, FRAMES, ORIENTATIONS, PAIRS, PHOTOS, _noise, _noise_sql, detections, framed_videos, photo_pairs, photos, table, variant_sql, with_vectors, written_photos
 from .catalog import query
 
 WITH = f"WITH {PHOTOS}"
-THRESHOLD, NEAR_RADIUS, LENGTH, RATIO, PERSON = 65.0, 19, 64, 0.95, 0.3
+THRESHOLD, NEAR_RADIUS, LENGTH, RATIO, PERSON = 90.0, 6, 64, 0.95, 0.3
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: ({a}[i] * {b}[i])::DOUBLE))"
 _SUM = "list_sum(list_transform({a}, lambda x: x::DOUBLE))"
@@ -21,6 +22,28 @@ _MIX = "list_sum(list_transform(range(1, 65), lambda i: ea[i]::DOUBLE * eb[i]::D
 _CORR = f"greatest(0.0, ({_MIX} - {_SUM.format(a='ea')} * {_SUM.format(a='eb')} / 64.0) / sqrt(({_SQ.format(a='ea')} - {_SUM.format(a='ea')} * {_SUM.format(a='ea')} / 64.0) * ({_SQ.format(a='eb')} - {_SUM.format(a='eb')} * {_SUM.format(a='eb')} / 64.0)))"
 _PCT = "(100.0::DOUBLE * (1.0::DOUBLE - distance / 64.0::DOUBLE))"
 _RAISED = f"(CASE WHEN {_PCT} > 60 AND {_PCT} < 92 THEN greatest({_PCT}, least(least(greatest({_CORR}, 0.0), 1.0) * 100.0, {_PCT} + 20)) ELSE {_PCT} END)"
+#: Clusters of one folder's detections, one after the other: faces at 0.6, else bodies at 0.8.
+PEOPLE = """detected AS (
+  SELECT folder, item_id, CASE WHEN face THEN 'face' ELSE 'body' END AS used, CASE WHEN face THEN plain ELSE list_concat(plain, plain) END AS e, CASE WHEN face THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS least_similar, row_number() OVER (PARTITION BY folder ORDER BY item_id) AS k
+  FROM (SELECT CAST(label AS VARCHAR) AS folder, vec_id AS item_id, vec_id % 3 <> 0 AS face, plain FROM shown)
+), """
+_SIMILAR = "list_transform({c}, lambda c: CASE WHEN len(c) <> len({e}) THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(range(1, len(c) + 1), lambda i: (c[i] * {e}[i])::DOUBLE)) / nullif(sqrt(list_sum(list_transform(c, lambda x: (x * x)::DOUBLE))) * sqrt(list_sum(list_transform({e}, lambda x: (x * x)::DOUBLE))), 0), 0.0) END)"
+
+
+def _walk(source: str) -> str:
+    """Recursive SQL: the clusters after each of source's rows (folder, k, e, least_similar), in order of k."""
+    return f"""walk AS (
+  SELECT folder, 0::BIGINT AS k, []::FLOAT[][] AS c, []::INT[] AS n, -1::BIGINT AS id FROM (SELECT DISTINCT folder FROM {source})
+  UNION ALL
+  SELECT folder, k, CASE WHEN place > 0 THEN list_transform(range(1, len(c) + 1), lambda p: CASE WHEN p <> place THEN c[p] ELSE list_transform(range(1, len(e) + 1), lambda i: (c[p][i] + (e[i] - c[p][i]) / (n[p] + 1)::FLOAT)::FLOAT) END) ELSE list_append(c, e) END,
+    CASE WHEN place > 0 THEN list_transform(range(1, len(n) + 1), lambda p: CASE WHEN p = place THEN (n[p] + 1)::INT ELSE n[p] END) ELSE list_append(n, 1) END, CASE WHEN place > 0 THEN place - 1 ELSE len(c) END
+  FROM (SELECT folder, k, c, n, e, CASE WHEN len(s) > 0 AND list_max(s) > 0 AND list_max(s) >= least_similar THEN list_position(s, list_max(s)) ELSE 0 END AS place
+    FROM (SELECT w.folder, d.k, w.c, w.n, d.e, d.least_similar, {_SIMILAR.format(c="w.c", e="d.e")} AS s FROM walk w JOIN {source} d ON d.folder = w.folder AND d.k = w.k + 1))
+)"""
+
+
+PEOPLE += _walk("detected") + ", people AS (SELECT d.folder, d.item_id, d.used, [w.id::INT] AS person_ids FROM detected d JOIN walk w ON w.folder = d.folder AND w.k = d.k)"
+_SCORE = f"scored AS MATERIALIZED (SELECT p.folder, item_a, item_b, CASE WHEN same THEN 100.0::DOUBLE WHEN list_has_any(a.person_ids, b.person_ids) AND r > 40 AND r < 90 THEN least(r + 10, 90) ELSE r END AS pct FROM (SELECT *, {_RAISED} AS r FROM pairs) p JOIN people a ON a.folder = p.folder AND a.item_id = item_a JOIN people b ON b.folder = p.folder AND b.item_id = item_b)"
 
 
 @query(f"{WITH} SELECT item_id, hash FROM photos")
@@ -28,103 +51,104 @@ def hash_from_vector(spark, d):
     return photos(spark, d).select("item_id", "hash")
 
 
-def _variant(t, r, c):
-    """SQL for the coefficients of one orientation; element k of a row of 64."""
-    at = "(k % 8) * 8 + k // 8" if t else "k"
-    sign = "CASE WHEN ({}) THEN -1 ELSE 1 END".format(" <> ".join([f"({'true' if r else 'false'} AND k // 8 % 2 = 1)", f"({'true' if c else 'false'} AND k % 2 = 1)"]))
-    return f"list_transform(range(0, 64), lambda k: ({sign}) * embedding[({at}) + 1])"
-
-
-_ALL = [(t, r, c) for t in (False, True) for r in (False, True) for c in (False, True)]
-
-
-@query("SELECT vec_id, orientation, " + BITS.format(v="v") + " AS hash FROM (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS orientation, {_variant(*x)} AS v FROM embeddings" for k, x in enumerate(_ALL)) + ")")
+@query("SELECT vec_id, orientation, " + BITS.format(v="v") + " AS hash FROM (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS orientation, {variant_sql(*x)} AS v FROM embeddings" for k, x in enumerate(ORIENTATIONS)) + ")")
 def orientation_hashes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(fn.orientation_hashes("embedding")).alias("orientation", "hash"))
 
 
-@query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, CAST(distance AS INT) AS distance, {_PCT} AS similarity_pct FROM pairs")
+@query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, CAST(plain AS INT) AS distance, 100.0::DOUBLE * (1.0::DOUBLE - plain / 64.0::DOUBLE) AS similarity_pct FROM pairs")
 def hamming_pairs(spark, d):
-    return photo_pairs(spark, d).select("folder", "item_a", "item_b", "distance", fn.similarity_pct("distance").alias("similarity_pct"))
+    return photo_pairs(written_photos(spark, d)).select("folder", "item_a", "item_b", F.col("plain").alias("distance"), fn.similarity_pct("plain").alias("similarity_pct"))
 
 
-@query(
-    f"{WITH}, o AS (SELECT vec_id, CAST(label AS VARCHAR) AS folder, [{', '.join(BITS.format(v=_variant(*x)) for x in _ALL)}] AS hs FROM embeddings) SELECT a.folder, a.vec_id AS item_a, b.vec_id AS item_b, CAST(list_min(list_transform(a.hs, lambda x: list_min(list_transform(b.hs, lambda y: bit_count(xor(x, y)))))) AS INT) AS distance FROM o a JOIN o b ON a.folder = b.folder AND a.vec_id < b.vec_id"
-)
+@query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, CAST(distance AS INT) AS distance FROM pairs")
 def orientation_min_pairs(spark, d):
-    rows = photos(spark, d).select("folder", "item_id", fn.orientation_hashes("embedding").alias("hashes"))
-    from ..sources.store import written
+    return photo_pairs(written_photos(spark, d)).select("folder", "item_a", "item_b", "distance")
 
-    pairs = similarity.folder_pairs(written(rows, "orientations"))
-    return pairs.select("folder", F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), fn.orientation_min("a.hashes", "b.hashes").alias("distance"))
 
+_BEST = "best AS MATERIALIZED (SELECT a.folder, a.item_id AS item_a, b.item_id AS item_b, 100.0::DOUBLE * (1.0::DOUBLE - s[least(2, len(s))] / 64.0::DOUBLE) AS pct FROM (SELECT a, b, list_sort(list_transform(a.hs, lambda x: list_min(list_transform(b.hs, lambda y: bit_count(xor(x, y)))))) AS s FROM frames a JOIN frames b ON a.folder = b.folder AND a.item_id <> b.item_id))"
 
-_VIDEOS = "frames AS (SELECT CAST(item_id // 5 % 10 AS VARCHAR) AS folder, item_id // 5 AS item_id, list(hash ORDER BY item_id) AS hs FROM photos GROUP BY item_id // 5)"
 
+def _frame_scores(videos):
+    """Both ways round, as the score isn't symmetric: a is the candidate, b what it is compared with."""
+    pairs = similarity.folder_pairs(videos.select("folder", "item_id", "frames"), ordered=False)
+    return pairs.select("folder", F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), fn.frame_pct("a.frames", "b.frames").alias("pct"))
 
-@query(
-    f"{WITH}, {_VIDEOS}, best AS (SELECT a.folder, a.item_id AS item_a, b.item_id AS item_b, list_sort(list_transform(a.hs, lambda x: list_min(list_transform(b.hs, lambda y: bit_count(xor(x, y)))))) AS s FROM frames a JOIN frames b ON a.folder = b.folder AND a.item_id <> b.item_id) SELECT folder, item_a, item_b, 100.0::DOUBLE * (1.0::DOUBLE - s[least(2, len(s))] / 64.0::DOUBLE) AS pct FROM best"
-)
+
+@query(f"{WITH}, {FRAMES}, {_BEST} SELECT * FROM best")
 def frame_second_best(spark, d):
-    """Five pictures in a row are the frames of one video; both ways round, as the score isn't symmetric."""
-    video = F.floor(F.col("item_id") / 5)
-    frames = photos(spark, d).groupBy(video.alias("video")).agg(F.array_sort(F.collect_list(F.struct("item_id", "hash"))).alias("f"))
-    frames = frames.select((F.col("video") % 10).cast("string").alias("folder"), F.col("video").alias("item_id"), F.transform("f", lambda x: F.array(x["hash"])).alias("frames"))
-    pairs = similarity.folder_pairs(frames, ordered=False)
-    return pairs.select("folder", F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), fn.frame_pct("a.frames", "b.frames").alias("pct"))
+    return _frame_scores(written(framed_videos(photos(spark, d)), "frames"))
 
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_COS}, 6) AS cosine FROM pairs")
 def cosine_pairs(spark, d):
-    return photo_pairs(spark, d).select("folder", "item_a", "item_b", F.round(fn.cosine("ea", "eb"), 6).alias("cosine"))
+    shown = written_photos(spark, d)
+    return with_vectors(photo_pairs(shown), shown).select("folder", "item_a", "item_b", F.round(fn.cosine("ea", "eb"), 6).alias("cosine"))
 
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_CORR}, 6) AS correlation FROM pairs")
 def hist_correlation(spark, d):
-    return photo_pairs(spark, d).select("folder", "item_a", "item_b", F.round(fn.histogram_correlation("ea", "eb", LENGTH), 6).alias("correlation"))
-
-
-def _combined(spark, d, person=None):
-    pairs = photo_pairs(spark, d).withColumn("correlation", fn.histogram_correlation("ea", "eb", LENGTH))
-    return fn.combined_similarity(F.lit(False), F.lit(True), fn.similarity_pct("distance"), F.lit(True), "correlation", None, person), pairs
+    shown = written_photos(spark, d)
+    return with_vectors(photo_pairs(shown), shown).select("folder", "item_a", "item_b", F.round(fn.histogram_correlation("ea", "eb", LENGTH), 6).alias("correlation"))
+
+
+def _scores(shown, people=None):
+    """(folder, item_a, item_b, pct): hashes of all pairs, vectors only of pairs whose hash score lies in the histogram's band."""
+    pairs = photo_pairs(shown).withColumn("hash_pct", fn.similarity_pct("distance"))
+    low, high = fn.HISTOGRAM_BAND
+    band = (F.col("hash_pct") > low) & (F.col("hash_pct") < high)
+    inside = with_vectors(pairs.where(band), shown).withColumn("correlation", fn.histogram_correlation("ea", "eb", LENGTH)).drop("ea", "eb")
+    pairs = inside.unionByName(pairs.where(~band).withColumn("correlation", F.lit(None).cast("double")))
+    shared = None
+    if people is not None:
+        for n in ("a", "b"):
+            pairs = pairs.join(people.select("folder", F.col("item_id").alias(f"item_{n}"), F.col("person_ids").alias(f"people_{n}")), ["folder", f"item_{n}"], "left")
+        shared = persons.share_person(F.col("people_a"), F.col("people_b"))
+    score = fn.combined_similarity("same" if people is not None else F.lit(False), F.lit(True), "hash_pct", F.lit(True), "correlation", None, shared)
+    return pairs.select("folder", "item_a", "item_b", score.alias("pct"))
 
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_RAISED}, 6) AS pct FROM pairs")
 def combined_similarity(spark, d):
-    score, pairs = _combined(spark, d)
-    return pairs.select("folder", "item_a", "item_b", F.round(score, 6).alias("pct"))
+    return _scores(written_photos(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
-@query(f"{WITH}, {PAIRS}, r AS (SELECT *, {_RAISED} AS b FROM pairs) SELECT folder, item_a, item_b, round(CASE WHEN (item_a + item_b) % 2 = 0 AND b > 40 AND b < 90 THEN least(b + 10, 90) ELSE b END, 6) AS pct FROM r")
+@query(f"WITH RECURSIVE {PHOTOS}, {PAIRS}, {PEOPLE}, {_SCORE} SELECT folder, item_a, item_b, round(pct, 6) AS pct FROM scored")
 def combined_similarity_person(spark, d):
-    """Items of equal parity share a person here."""
-    score, pairs = _combined(spark, d, (F.col("item_a") + F.col("item_b")) % 2 == 0)
-    return pairs.select("folder", "item_a", "item_b", F.round(score, 6).alias("pct"))
+    """The whole score: digests, hashes, histograms, and people that both pictures show."""
+    return _scores(written_photos(spark, d), persons.resolved(detections(spark, d))).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"WITH RECURSIVE {PHOTOS}, {PEOPLE} SELECT folder, item_id, used, person_ids[1] AS person_id FROM people")
+def person_resolution(spark, d):
+    """Faces at 0.6, else bodies at 0.8, into the clusters of their folder."""
+    return persons.resolved(detections(spark, d)).select("folder", "item_id", "used", F.col("person_ids")[0].alias("person_id"))
 
 
-_NEAR = f"near AS (SELECT folder, item_a, item_b, CAST(distance AS INT) AS distance FROM pairs WHERE distance <= {NEAR_RADIUS})"
+_ENCODED = f"encoded AS (SELECT folder, item_id, hash FROM photos UNION ALL SELECT folder, item_id + {10 * COPY_BASE}, xor(hash, {_noise_sql('item_id % 9', 'item_id * 7', 9)}) FROM photos)"
 
 
-@query(f"{WITH}, {PAIRS}, {_NEAR} SELECT * FROM near")
+@query(f"{WITH}, {_ENCODED} SELECT a.folder, a.item_id AS item_a, b.item_id AS item_b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM encoded a JOIN encoded b ON a.folder = b.folder AND a.item_id < b.item_id WHERE bit_count(xor(a.hash, b.hash)) <= {NEAR_RADIUS}")
 def banded_near_pairs(spark, d):
-    return similarity.near_pairs(photos(spark, d), NEAR_RADIUS)
+    """Pictures and their re-encodes, up to eight bits of whose hashes differ: pairs at 90 percent and more."""
+    shown = photos(spark, d).select("folder", "item_id", "hash")
+    encoded = shown.withColumn("hash", F.col("hash").bitwiseXOR(_noise(F.col("item_id") % 9, F.col("item_id") * 7, 9))).withColumn("item_id", F.col("item_id") + 10 * COPY_BASE)
+    return similarity.near_pairs(written(shown.union(encoded), "encoded"), NEAR_RADIUS)
 
 
 # --- leader groups ------------------------------------------------------------------
 
-_LEADERS = f"""WITH RECURSIVE {PHOTOS}, ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY folder ORDER BY 0.5::DOUBLE * (width::BIGINT * height::BIGINT) + 0.15::DOUBLE * size_bytes DESC, item_id) AS INT) AS rank FROM photos
-), near AS (
-  SELECT a.folder, a.rank AS low, b.rank AS high, 100.0::DOUBLE * (1.0::DOUBLE - bit_count(xor(a.hash, b.hash)) / 64.0::DOUBLE) AS pct FROM ranked a JOIN ranked b ON a.folder = b.folder AND a.rank < b.rank
-  WHERE 100.0::DOUBLE * (1.0::DOUBLE - bit_count(xor(a.hash, b.hash)) / 64.0::DOUBLE) >= {THRESHOLD}
+_RANKED = "ranked AS MATERIALIZED (SELECT folder, item_id, CAST(row_number() OVER (PARTITION BY folder ORDER BY 0.5::DOUBLE * (width::BIGINT * height::BIGINT) + 0.15::DOUBLE * size_bytes DESC, item_id) AS INT) AS rank FROM {0})"
+_LEADERS = f"""WITH RECURSIVE {PHOTOS}, {PAIRS}, {PEOPLE}, {_SCORE}, {_RANKED.format("photos")}, near AS MATERIALIZED (
+  SELECT a.folder, least(a.rank, b.rank) AS low, greatest(a.rank, b.rank) AS high, pct FROM scored s JOIN ranked a ON a.folder = s.folder AND a.item_id = s.item_a JOIN ranked b ON b.folder = s.folder AND b.item_id = s.item_b WHERE pct >= {THRESHOLD}
 ), earlier AS (
   SELECT r.folder, r.rank, coalesce(list(n.low) FILTER (n.low IS NOT NULL), []::INT[]) AS lows FROM ranked r LEFT JOIN near n ON n.folder = r.folder AND n.high = r.rank GROUP BY r.folder, r.rank
-), walk AS (
+), led AS (
   SELECT folder, 0 AS k, []::INT[] AS leaders FROM (SELECT DISTINCT folder FROM ranked)
   UNION ALL
-  SELECT w.folder, w.k + 1, CASE WHEN list_has_any(e.lows, w.leaders) THEN w.leaders ELSE list_append(w.leaders, e.rank) END FROM walk w JOIN earlier e ON e.folder = w.folder AND e.rank = w.k + 1
+  SELECT w.folder, w.k + 1, CASE WHEN list_has_any(e.lows, w.leaders) THEN w.leaders ELSE list_append(w.leaders, e.rank) END FROM led w JOIN earlier e ON e.folder = w.folder AND e.rank = w.k + 1
 ), leaders AS (
-  SELECT folder, unnest(leaders) AS rank FROM walk QUALIFY row_number() OVER (PARTITION BY folder ORDER BY k DESC) = 1
+  SELECT folder, unnest(leaders) AS rank FROM (SELECT folder, arg_max(leaders, k) AS leaders FROM led GROUP BY folder)
 ), both_ways AS (SELECT folder, low AS l, high AS m, pct FROM near UNION ALL SELECT folder, high, low, pct FROM near
 ), members AS (
   SELECT b.folder, b.m AS rank, min(b.l) AS leader FROM both_ways b JOIN leaders x ON x.folder = b.folder AND x.rank = b.l WHERE NOT EXISTS (SELECT 1 FROM leaders y WHERE y.folder = b.folder AND y.rank = b.m) GROUP BY b.folder, b.m
@@ -133,21 +157,23 @@ _LEADERS = f"""WITH RECURSIVE {PHOTOS}, ranked AS (
 )"""
 
 
-def _last_walk(sql: str) -> str:
-    return sql.replace("SELECT folder, unnest(leaders) AS rank FROM walk QUALIFY row_number() OVER (PARTITION BY folder ORDER BY k DESC) = 1", "SELECT folder, unnest(leaders) AS rank FROM (SELECT folder, arg_max(leaders, k) AS leaders FROM walk GROUP BY folder)")
+def _ranked(items):
+    score = fn.quality_score("width", "height", F.lit(None).cast("long"), "size_bytes", F.lit(None).cast("string"))
+    return written(cluster.quality_ranked(items, score).select("folder", "item_id", "rank"), "ranked")
 
 
-_LEADERS = _last_walk(_LEADERS)
+def _by_rank(scores, ranked, a, b):
+    """scores with the ranks of both items, as a and b."""
+    end = lambda n, name: ranked.select("folder", F.col("item_id").alias(f"item_{n}"), F.col("rank").alias(name))
+    return scores.join(end("a", a), ["folder", "item_a"]).join(end("b", b), ["folder", "item_b"])
 
 
 def leaders(spark, d):
-    """(ranked photos, edges with pct, placements)."""
-    from ..sources.store import written
-
-    score = fn.quality_score("width", "height", F.lit(None).cast("long"), "size_bytes", F.lit(None).cast("string"))
-    ranked = written(cluster.quality_ranked(photos(spark, d), score).select("folder", "item_id", "hash", "rank"), "ranked")
-    a, b = (ranked.select("folder", F.col("rank").alias(n), F.col("hash").alias(f"hash_{n}")) for n in ("low", "high"))
-    near = a.join(b, "folder").where("low < high").withColumn("pct", fn.similarity_pct(fn.hamming("hash_low", "hash_high"))).where(F.col("pct") >= THRESHOLD).select("folder", "low", "high", "pct")
+    """(ranked photos, edges with pct, placements): groups on the whole score, digests and people included."""
+    shown = written_photos(spark, d)
+    ranked = _ranked(shown)
+    scores = _scores(shown, persons.resolved(detections(spark, d))).where(F.col("pct") >= THRESHOLD)
+    near = _by_rank(scores, ranked, "ra", "rb").select("folder", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "pct")
     near = written(near, "near")
     return ranked, near, cluster.leader_clusters(ranked.select("folder", "rank"), near)
 
@@ -160,7 +186,7 @@ def leader_groups(spark, d):
 
 
 @query(
-    f"""{_LEADERS} SELECT p.folder, l.item_id AS leader, r.item_id, row_number() OVER (PARTITION BY p.folder, p.leader ORDER BY p.rank <> p.leader, p.rank) AS member_rank, CASE WHEN p.rank = p.leader THEN 100.0::DOUBLE ELSE b.pct END AS similarity_pct
+    f"""{_LEADERS} SELECT p.folder, l.item_id AS leader, r.item_id, row_number() OVER (PARTITION BY p.folder, p.leader ORDER BY p.rank <> p.leader, p.rank) AS member_rank, CASE WHEN p.rank = p.leader THEN 100.0::DOUBLE ELSE round(b.pct, 6) END AS similarity_pct
     FROM placed p JOIN ranked r ON r.folder = p.folder AND r.rank = p.rank JOIN ranked l ON l.folder = p.folder AND l.rank = p.leader LEFT JOIN both_ways b ON b.folder = p.folder AND b.l = p.leader AND b.m = p.rank"""
 )
 def leader_group_members(spark, d):
@@ -168,13 +194,38 @@ def leader_group_members(spark, d):
     both = near.select("folder", F.col("low").alias("leader"), F.col("high").alias("rank"), "pct").union(near.select("folder", "high", "low", "pct"))
     rows = placed.join(both, ["folder", "leader", "rank"], "left").join(ranked.select("folder", "rank", "item_id"), ["folder", "rank"]).join(ranked.select("folder", F.col("rank").alias("leader"), F.col("item_id").alias("leader_item")), ["folder", "leader"])
     order = Window.partitionBy("folder", "leader").orderBy(F.col("rank") != F.col("leader"), "rank")
-    return rows.select("folder", F.col("leader_item").alias("leader"), "item_id", F.row_number().over(order).alias("member_rank"), F.when(F.col("rank") == F.col("leader"), 100.0).otherwise(F.col("pct")).alias("similarity_pct"))
+    return rows.select("folder", F.col("leader_item").alias("leader"), "item_id", F.row_number().over(order).alias("member_rank"), F.when(F.col("rank") == F.col("leader"), 100.0).otherwise(F.round("pct", 6)).alias("similarity_pct"))
+
+
+@query(
+    f"""WITH RECURSIVE {PHOTOS}, {FRAMES}, {_BEST}, {_RANKED.format("frames")}, near AS MATERIALIZED (
+      SELECT r.folder, r.rank, coalesce(list(c.rank ORDER BY c.rank) FILTER (s.pct >= {THRESHOLD}), []::INT[]) AS free FROM ranked r LEFT JOIN best s ON s.folder = r.folder AND s.item_b = r.item_id LEFT JOIN ranked c ON c.folder = s.folder AND c.item_id = s.item_a GROUP BY r.folder, r.rank
+    ), led AS (
+      SELECT folder, 0 AS k, []::INT[] AS taken, []::STRUCT(rank INT, leader INT)[] AS placed FROM (SELECT DISTINCT folder FROM ranked)
+      UNION ALL
+      SELECT folder, rank, CASE WHEN new THEN list_concat(taken, list_concat([rank], free)) ELSE taken END, CASE WHEN new THEN list_concat(placed, list_transform(list_concat([rank], free), lambda c: {{'rank': c, 'leader': rank}})) ELSE placed END
+      FROM (SELECT folder, rank, taken, placed, free, NOT list_contains(taken, rank) AND len(free) > 0 AS new FROM (SELECT w.folder, n.rank, w.taken, w.placed, list_filter(n.free, lambda c: NOT list_contains(w.taken, c)) AS free FROM led w JOIN near n ON n.folder = w.folder AND n.rank = w.k + 1))
+    ), last AS (SELECT folder, unnest(arg_max(placed, k)) AS p FROM led GROUP BY folder)
+    SELECT x.folder, l.item_id AS leader, r.item_id FROM last x JOIN ranked r ON r.folder = x.folder AND r.rank = x.p.rank JOIN ranked l ON l.folder = x.folder AND l.rank = x.p.leader"""
+)
+def video_leader_groups(spark, d):
+    """Groups of videos: a candidate joins by its second best frame, best videos lead."""
+    videos = written(framed_videos(photos(spark, d)), "frames")
+    ranked = _ranked(videos)
+    scores = _frame_scores(videos).where(F.col("pct") >= THRESHOLD)
+    edges = _by_rank(scores, ranked, "candidate", "reference").select("folder", "reference", "candidate")
+    placed = cluster.leader_clusters_asymmetric(ranked.select("folder", "rank"), edges)
+    named = lambda c, name: ranked.select("folder", F.col("rank").alias(c), F.col("item_id").alias(name))
+    return placed.join(named("rank", "item_id"), ["folder", "rank"]).join(named("leader", "leader_item"), ["folder", "leader"]).select("folder", F.col("leader_item").alias("leader"), "item_id")
 
 
 # --- identities and orders by likeness ------------------------------------------------
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PHOTOS}, seen AS (SELECT folder, item_id, embedding AS e, {PERSON}::DOUBLE AS least_similar, row_number() OVER (PARTITION BY folder ORDER BY item_id) AS k FROM photos), {_walk("seen")}, last AS (SELECT folder, arg_max(n, k) AS n FROM walk GROUP BY folder)
+    SELECT d.folder, d.item_id, w.id::INT AS cluster_id, l.n[w.id + 1] AS sample_count FROM seen d JOIN walk w ON w.folder = d.folder AND w.k = d.k JOIN last l ON l.folder = d.folder"""
+)
 def person_clusters(spark, d):
     return persons.person_clusters(photos(spark, d), PERSON)
 
@@ -187,9 +238,9 @@ def face_else_body(spark, d):
     return rows.select("item_id", F.when(F.size("faces") > 0, "face").otherwise("body").alias("used"), F.size(chosen[0]).alias("length"))
 
 
-@query(f"{WITH}, {PAIRS}, p AS (SELECT folder, item_a AS item, item_b AS other, distance FROM pairs UNION ALL SELECT folder, item_b, item_a, distance FROM pairs), o AS (SELECT *, row_number() OVER (PARTITION BY folder, item ORDER BY distance, other) AS k FROM p) SELECT x.folder, x.item, CAST(x.distance AS INT) AS distance, x.other FROM o x JOIN o y ON x.folder = y.folder AND x.item = y.item AND x.k = 1 AND y.k = 2 WHERE x.distance < {RATIO} * y.distance")
+@query(f"{WITH}, {PAIRS}, p AS (SELECT folder, item_a AS item, item_b AS other, plain AS distance FROM pairs UNION ALL SELECT folder, item_b, item_a, plain FROM pairs), o AS (SELECT *, row_number() OVER (PARTITION BY folder, item ORDER BY distance, other) AS k FROM p) SELECT x.folder, x.item, CAST(x.distance AS INT) AS distance, x.other FROM o x JOIN o y ON x.folder = y.folder AND x.item = y.item AND x.k = 1 AND y.k = 2 WHERE x.distance < {RATIO} * y.distance")
 def knn_ratio_test(spark, d):
-    p = photo_pairs(spark, d).select("folder", "item_a", "item_b", "distance")
+    p = photo_pairs(written_photos(spark, d)).select("folder", "item_a", "item_b", F.col("plain").alias("distance"))
     both = p.select("folder", F.col("item_a").alias("item"), F.col("item_b").alias("other"), "distance").union(p.select("folder", "item_b", "item_a", "distance"))
     return similarity.nearest_two(both, ["folder", "item"], "distance", "other", RATIO)
 
@@ -199,11 +250,20 @@ _THUMB = f"least(greatest(greatest({_PCT}, 0.9 * 100.0 * {_CORR}), 0.0), 100.0)"
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_THUMB}, 6) AS pct FROM pairs")
 def thumb_similarity(spark, d):
-    pairs = photo_pairs(spark, d)
+    shown = written_photos(spark, d)
+    pairs = with_vectors(photo_pairs(shown), shown)
     return pairs.select("folder", "item_a", "item_b", F.round(fn.thumbnail_similarity(F.lit(False), fn.similarity_pct("distance"), fn.histogram_correlation("ea", "eb", LENGTH)), 6).alias("pct"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PHOTOS}, {PAIRS}, thumbs AS (SELECT folder, item_a, item_b, round({_THUMB}, 6) AS pct FROM pairs), likes AS MATERIALIZED (
+      SELECT folder, a, list(b ORDER BY pct DESC, b) AS others FROM (SELECT folder, item_a AS a, item_b AS b, pct FROM thumbs UNION ALL SELECT folder, item_b, item_a, pct FROM thumbs) GROUP BY folder, a
+    ), chain AS (
+      SELECT folder, min(item_id) AS item_id, 1 AS pos, [min(item_id)] AS seen FROM photos GROUP BY folder
+      UNION ALL
+      SELECT folder, next, pos + 1, list_append(seen, next) FROM (SELECT c.folder, c.pos, c.seen, list_filter(l.others, lambda x: NOT list_contains(c.seen, x))[1] AS next FROM chain c JOIN likes l ON l.folder = c.folder AND l.a = c.item_id) WHERE next IS NOT NULL
+    ) SELECT folder, item_id, pos FROM chain"""
+)
 def thumb_nn_chain(spark, d):
     scored = thumb_similarity(spark, d)
     both = scored.union(scored.select("folder", "item_b", "item_a", "pct"))

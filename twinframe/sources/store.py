@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,9 +18,14 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one of our own only where none is named."""
+    """The session's shared checkpoint folder; one of our own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = got.get() if got.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="twinframe-"))
         named = _own_folder[0]
@@ -30,7 +36,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: iterations don't grow the lineage, and a lost executor costs one step."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = df.sparkSession
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+#: Path of each table that written() wrote and nothing has deleted yet.
+_written: dict[str, SparkSession] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() gave, once nothing will read them again."""
+    for path in [getattr(t, "written_at", None) for t in tables]:
+        if (spark := _written.pop(path, None)) is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone at exit; the folder's owner then cleans up
+            return
 
 
 def with_key(items: DataFrame) -> DataFrame:
