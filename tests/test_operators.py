@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import cluster, containment, persons, similarity, views
+from twinframe.operators import cluster, containment, persons, ranking, similarity, views
 
 DDL = "video_id long, sec int, hash long, mirror_hash long, usable boolean"
 
@@ -23,6 +23,35 @@ def test_banded_pairs_equal_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
+@pytest.mark.parametrize("radius", [0, 3, 6, 10])
+def test_near_hashes_miss_none(spark, radius):
+    rng = random.Random(radius)
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    a = [rng.getrandbits(64) for _ in range(30)]
+    b = list({flip(rng.choice(a), rng.randrange(0, 14)) for _ in range(150)})
+    frame = lambda x: spark.createDataFrame([(signed(h),) for h in x], "hash long")
+    got = {tuple(r) for r in similarity.near_hashes(frame(a), frame(b), radius).collect()}
+    assert got == {(signed(x), signed(y)) for x in a for y in b if (x ^ y).bit_count() <= radius}
+
+
+def test_numbers_by_ranges(spark):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.randrange(20)) for i in range(400)]
+    got = ranking.numbered(spark.createDataFrame(rows, "folder string, item_id long, size long").repartition(5), ["folder"], [F.desc("size"), F.col("item_id")], "pos")
+    for folder in "hot", "a", "b", "c":
+        wanted = [i for _, i, _ in sorted((r for r in rows if r[0] == folder), key=lambda r: (-r[2], r[1]))]
+        assert [r.item_id for r in got.where(F.col("folder") == folder).orderBy("pos").collect()] == wanted
+        assert [r.pos for r in got.where(F.col("folder") == folder).orderBy("pos").collect()] == list(range(1, len(wanted) + 1))
+
+
+def test_people_of_faces_or_else_bodies(spark):
+    face, other, body = [1.0, 0.0], [0.0, 1.0], [1.0, 1.0, 0.0]
+    rows = [("f", 1, [face, other], [body]), ("f", 2, [[0.9, 0.1]], []), ("f", 3, [], [body]), ("f", 4, [], [[1.0, 0.9, 0.0]]), ("f", 5, [], []), ("g", 1, [face], []), ("f", 6, None, [[0.0, 0.0, 0.0]])]
+    got = {(r.folder, r.item_id): (r.used, r.person_ids) for r in persons.resolved(spark.createDataFrame(rows, "folder string, item_id long, faces array<array<float>>, bodies array<array<float>>")).collect()}
+    assert got == {("f", 1): ("face", [0, 1]), ("f", 2): ("face", [0]), ("f", 3): ("body", [2]), ("f", 4): ("body", [2]), ("f", 5): (None, []), ("g", 1): ("face", [0]), ("f", 6): ("body", [3])}
+
+
 # --- groups ---------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ["exact_groups_members", "quality_rank", "best_copy", "identical_copy_colors", "keep_worst_selection", "sort_by_bitrate", "cache_rewrite", "groups_after_delete", "relative_age", "usable_frame_choice", "orientation_hashes", "banded_near_pairs", "leader_group_members", "fp_contained", "fp_runs"]
+CHOSEN = ["exact_groups_members", "quality_rank", "best_copy", "identical_copy_colors", "keep_worst_selection", "sort_by_bitrate", "cache_rewrite", "groups_after_delete", "relative_age", "usable_frame_choice", "orientation_hashes", "banded_near_pairs", "leader_group_members", "video_leader_groups", "person_resolution", "thumb_nn_chain", "fp_contained", "fp_segments", "fp_compilations", "cached_row_projection", "reuse_selection", "folder_displays"]
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:

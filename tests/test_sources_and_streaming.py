@@ -1,4 +1,5 @@
 import json
+import logging
 import struct
 import zlib
 
@@ -6,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from twinframe.functions import vision
-from twinframe.sources import files, store
+from twinframe.sources import files, settings, store
 from twinframe.streaming import incremental
 
 
@@ -91,3 +92,52 @@ def test_streamed_clusters_keep_their_state(spark, tmp_path):
         q.awaitTermination()
     got = {r.item_id: (r.cluster_id, r.sample_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (0, 1), 2: (1, 1), 3: (0, 2)}
+
+
+def test_folders_and_settings(spark, tmp_path):
+    path = str(tmp_path / "folders")
+    assert settings.read_folders(spark, path).count() == 0
+    rows = spark.createDataFrame([("/a", True, None, None, 3), ("/b", False, None, None, 0)], settings.FOLDERS)
+    settings.write_folders(rows, path)
+    assert sorted(r.path for r in settings.read_folders(spark, path).collect()) == ["/a", "/b"]
+    assert [r.path for r in settings.enabled(settings.read_folders(spark, path)).collect()] == ["/a"]
+    (tmp_path / "folders" / "more.json").write_text('{"path": ')
+    assert settings.read_folders(spark, path).count() == 0
+    kept = str(tmp_path / "settings")
+    assert settings.read_settings(spark, kept, {"thumbnails": 3}) == {"thumbnails": 3}
+    settings.write_settings(spark, {"thumbnails": 5, "other": 1}, kept)
+    assert settings.read_settings(spark, kept, {"thumbnails": 3, "mode": "All"}) == {"thumbnails": 5, "mode": "All"}
+
+
+def test_fingerprints_are_found_by_content(spark, tmp_path):
+    path = str(tmp_path / "fingerprints")
+    items = spark.createDataFrame([(1, "/A.mp4", 5, 9), (2, "/b.mp4", 6, 9)], "item_id long, full_path string, size_bytes long, last_write_ticks long")
+    seconds, missing = store.read_fingerprints(spark, items, path)
+    assert seconds.count() == 0 and missing.count() == 2
+    made = spark.createDataFrame([(1, 0, 7, None, True), (1, 1, 8, 3, False)], "video_id long, sec int, hash long, mirror_hash long, usable boolean")
+    store.write_fingerprints(items, made, path)
+    store.write_fingerprints(items, made, path)
+    again = spark.createDataFrame([(11, "/a.MP4", 5, 9), (12, "/b.mp4", 7, 9)], "item_id long, full_path string, size_bytes long, last_write_ticks long")
+    seconds, missing = store.read_fingerprints(spark, again, path)
+    assert sorted((r.video_id, r.sec, r.hash, r.mirror_hash, r.usable) for r in seconds.collect()) == [(11, 0, 7, 7, True), (11, 1, 8, 3, False)]
+    assert [r.item_id for r in missing.collect()] == [12]
+
+
+def test_subfolders_and_log(spark, tmp_path):
+    for p in ("b/Inner", "A", ".hidden/x"):
+        (tmp_path / "root" / p).mkdir(parents=True)
+    names = lambda deep: [p.split("/root/")[1] for p in files.subfolders(spark, str(tmp_path / "root"), deep)]
+    assert names(False) == ["A", "b"] and names(True) == ["A", "b", "b/Inner"] and files.subfolders(spark, str(tmp_path / "none")) == []
+    log = logging.getLogger("scan")
+    log.addHandler(settings.JsonLines(str(tmp_path / "log.jsonl")))
+    log.propagate = False
+    log.warning("slow %s", "file")
+    try:
+        raise ValueError("broken")
+    except ValueError:
+        log.exception("failed")
+    log.addHandler(settings.JsonLines("/none/log.jsonl"))
+    log.warning("still fine")
+    first, second, third = map(json.loads, (tmp_path / "log.jsonl").read_text().splitlines())
+    assert first["message"] == "slow file" and first["exception"] is None and second["exception"] == "ValueError: broken" and third["level"] == "WARNING"
+

@@ -305,6 +305,25 @@ def clamped_span(offset, length, limit) -> tuple[Column, Column]:
     return start, F.least(F.greatest(_c(offset) + _c(length), start), _c(limit))
 
 
+def folder_displays(last_scanned, scanning, last_modified, calculating, items) -> tuple[Column, Column, Column]:
+    """(last scan, last change, number of files) of a managed folder, as shown."""
+    # Formats and words.
+    scanned = F.when(_c(scanning), "Scanning...").otherwise(F.coalesce(F.date_format(_c(last_scanned), "MMM d, HH:mm"), F.lit("Never")))
+    modified = F.coalesce(F.date_format(_c(last_modified), "MMM d, yyyy HH:mm"), F.when(_c(calculating), "Calculating...").otherwise("—"))
+    return scanned, modified, F.when(_c(items) > 0, F.concat(F.format_number(_c(items), 0), F.lit(" files"))).otherwise("—")
+
+
+def filmstrip_width(height, count) -> Column:
+    """Room for a video's thumbnails: the first takes more than the others."""
+    height = _c(height).cast("double")
+    return F.when(_c(count) <= 1, height).otherwise(height * (1.15 + 0.5 * (_c(count) - 1)))
+
+
+def clamped(x, low: int, high: int) -> Column:
+    """A setting within its limits: 1 to 7 thumbnails a video, columns of 48 to 400."""
+    return F.least(F.greatest(_c(x), F.lit(low)), F.lit(high))
+
+
 def scan_mode(stored, legacy) -> Column:
     modes = ("All", "Videos", "VideosContained")
     return F.coalesce(F.when(_c(stored).isin(*modes), _c(stored)), F.when(_c(legacy), "VideosContained"), F.lit("All"))

@@ -32,6 +32,11 @@ def ordered(items: DataFrame, key: str) -> DataFrame:
     return numbered(items.join(several, "folder", "left_semi"), ["folder"], [*order_keys(key), F.col("item_id")], "pos")
 
 
+def restored(items: DataFrame, detected: str) -> DataFrame:
+    """items with `pos` from 1 within their folder as they were found: by the place of their set, then by item_id."""
+    return numbered(items, ["folder"], [F.col(detected), F.col("item_id")], "pos")
+
+
 def nearest_chain(scored: DataFrame, items: DataFrame) -> DataFrame:
     """(folder, item_id, pos): from a folder's first item always on to the most similar one left, first on ties.
 

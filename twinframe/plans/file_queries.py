@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import cluster, similarity, views
-from ..sources import store
+from ..operators import cluster, ranking, similarity, views
+from ..sources import settings, store
 from .bindings import CACHED, DELETED, MEDIA, RANK, SCORE, cached, deleted, media, quality, table
 from .catalog import query
 
@@ -350,7 +350,6 @@ def probed_bit_rate(spark, d):
 
 
 
-
 @query(
     """WITH t AS (SELECT l_orderkey, l_linenumber, [l_quantity, l_tax * 300, l_discount * 200, l_extendedprice / 9000, l_tax * l_quantity] AS s FROM lineitem)
     SELECT l_orderkey, l_linenumber, ([0.0, 0.5, 1.0, -0.5, -1.0])[CASE WHEN first IS NOT NULL THEN first ELSE list_position(s, list_max(s)) END]::DOUBLE AS chosen
@@ -374,3 +373,70 @@ def failed_extraction_drop(spark, d):
 @query(f"{WITH} SELECT folder, count(*) AS item_count, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(last_write_ticks) AS last_change FROM media GROUP BY folder")
 def record_scan_result(spark, d):
     return media(spark, d).groupBy("folder").agg(F.count(F.lit(1)).alias("item_count"), F.sum("size_bytes").alias("bytes"), F.max("last_write_ticks").alias("last_change"))
+
+
+# --- rows of the cache, folders and views -------------------------------------------
+
+
+@query(f"{WITH}, {CACHED}, b AS (SELECT *, {_KEY} AS cache_key FROM (SELECT * FROM cached UNION ALL SELECT * FROM media)) SELECT cache_key, item_id, full_path, file_name, size_bytes, last_write_ticks, sha256, width, height, codec, bit_rate_bps, audio_sample_rate_hz, kind, duration_s::DOUBLE AS duration_s FROM b QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY item_id) = 1")
+def cached_row_projection(spark, d):
+    """Items to cached rows and back, one row for a key that stands twice."""
+    both = store.with_key(cached(spark, d).unionByName(media(spark, d)))
+    return store.from_cached(store.to_cached(both))
+
+
+@query(f"{WITH} SELECT item_id, substr(upper(sha256({_KEY})), 1, 32) AS fingerprint_key, item_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS cached FROM media WHERE kind = 'video'")
+def fingerprint_plan(spark, d):
+    """Videos whose fingerprint is cached in the present version (of good quality, here), by content key, and those that need one."""
+    videos = media(spark, d).where("kind = 'video'").withColumn("fingerprint_key", fn.fingerprint_key(fn.cache_key("full_path", "size_bytes", "last_write_ticks")))
+    good = media(spark, d).join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    known = good.select(fn.fingerprint_key(fn.cache_key("full_path", "size_bytes", "last_write_ticks")).alias("fingerprint_key"), F.lit(True).alias("hit")).distinct()
+    return videos.join(known, "fingerprint_key", "left").select("item_id", "fingerprint_key", F.coalesce("hit", F.lit(False)).alias("cached"))
+
+
+@query(f"{WITH}, {CACHED} SELECT m.item_id, c.item_id IS NOT NULL AS reused, coalesce(c.item_id % 2 = 0, false) AS selected FROM media m LEFT JOIN cached c ON lower(c.full_path) = lower(m.full_path)")
+def reuse_selection(spark, d):
+    """Rows shown before keep their selection after a scan."""
+    shown = cached(spark, d).select("item_id", "full_path", (F.col("item_id") % 2 == 0).alias("selected"))
+    return store.reuse_by_path(media(spark, d), shown).select("item_id", "reused", "selected")
+
+
+@query(f"{WITH}, {GROUPED}, f AS (SELECT folder, min(item_id) AS first FROM grouped GROUP BY folder) SELECT folder, first = min(first) OVER () AS expanded FROM f")
+def folders_expanded(spark, d):
+    """The first folder to have results starts expanded."""
+    first = grouped(spark, d).groupBy("folder").agg(F.min("item_id").alias("first"))
+    least = first.agg(F.min("first").alias("least"))
+    return first.join(F.broadcast(least), F.col("first") == F.col("least"), "left").select("folder", F.col("least").isNotNull().alias("expanded"))
+
+
+@query(f"{WITH}, {GROUPED} SELECT folder, item_id, row_number() OVER (PARTITION BY folder ORDER BY first_item, item_id) AS pos FROM (SELECT *, min(item_id) OVER (PARTITION BY folder, sha256) AS first_item FROM grouped)")
+def restored_order(spark, d):
+    """Without a filter, items stand as found: set after set in order of detection."""
+    sets = similarity.exact_groups(media(spark, d)).select(*GROUP, "first_item")
+    return views.restored(media(spark, d).join(sets, GROUP), "first_item").select("folder", "item_id", "pos")
+
+
+@query("SELECT source AS path, row_number() OVER (ORDER BY lower(source), source) AS pos FROM (SELECT DISTINCT source FROM documents)")
+def subfolder_order(spark, d):
+    """Candidates of the folder picker by path, regardless of case."""
+    return ranking.numbered(subfolder_candidates(spark, d).select("path"), [], [F.lower("path"), F.col("path")], "pos")
+
+
+@query(f"WITH {_FOLDERS} SELECT path, item_count FROM folders WHERE length(path) % 2 = 0")
+def enabled_folders(spark, d):
+    return settings.enabled(_folders(spark, d).withColumn("is_enabled", F.length("path") % 2 == 0)).select("path", "item_count")
+
+
+@query(
+    f"""WITH {_FOLDERS} SELECT path, CASE WHEN length(path) % 3 = 0 THEN 'Scanning...' ELSE coalesce(strftime(last_scanned, '%b %-d, %H:%M'), 'Never') END AS scanned,
+    coalesce(strftime(last_modified, '%b %-d, %Y %H:%M'), '—') AS modified, CASE WHEN item_count > 0 THEN format('{{:,}} files', item_count) ELSE '—' END AS items FROM folders"""
+)
+def folder_displays(spark, d):
+    scanned, modified, items = fn.folder_displays("last_scanned", F.length("path") % 3 == 0, "last_modified", F.lit(False), "item_count")
+    return _folders(spark, d).select("path", scanned.alias("scanned"), modified.alias("modified"), items.alias("items"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN n <= 1 THEN h ELSE h * (1.15 + 0.5 * (n - 1)) END, 6) AS width, h + 8 AS row_height FROM (SELECT l_orderkey, l_linenumber, least(greatest(l_linenumber, 1), 7) AS n, least(greatest(l_quantity * 10, 48), 400) AS h FROM lineitem)")
+def filmstrip_geometry(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.clamped("l_linenumber", 1, 7).alias("n"), fn.clamped(F.col("l_quantity") * 10, 48, 400).alias("h"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(fn.filmstrip_width("h", "n"), 6).alias("width"), (F.col("h") + 8).alias("row_height"))

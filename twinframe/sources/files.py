@@ -30,6 +30,21 @@ def folder_last_change(files: DataFrame) -> DataFrame:
     return files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("last_modified"), F.count(F.lit(1)).alias("item_count"))
 
 
+def subfolders(spark: SparkSession, root: str, deep: bool = False) -> list[str]:
+    """Folders below root, direct ones or all, without hidden ones, by path regardless of case; none where root can't be listed. Driver-side, as a picker needs it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [path]
+    while todo:
+        try:
+            inside = [s.getPath() for s in files.listStatus(todo.pop()) if s.isDirectory() and not s.getPath().getName().startswith(".")]
+        except Exception:  # missing, or no right to read it
+            continue
+        found += inside
+        todo += inside if deep else []
+    return sorted((p.toString() for p in found), key=lambda p: (p.lower(), p))
+
+
 def cached_json(spark: SparkSession, path: str) -> DataFrame:
     """Cached items from JSON; unsigned 64-bit hashes become signed bit patterns."""
     raw = spark.read.option("multiLine", "true").schema("FullPath string, Kind int, SizeBytes long, Sha256 string, OrientationHashes array<decimal(20,0)>").json(path)

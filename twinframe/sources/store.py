@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +110,49 @@ def read_features(spark: SparkSession, path: str, folder: str | None = None) ->
     """Cached rows of the current version; a folder prunes partitions."""
     rows = spark.read.parquet(path).where(F.col("schema_version") == SCHEMA_VERSION)
     return rows.where(F.col("folder_hash") == fn.folder_hash(F.lit(folder))) if folder is not None else rows
+
+
+#: Ticks of 100 ns in a second, as the cache keeps durations.
+TICKS = 10_000_000
+_AS_THEY_ARE = ("full_path", "file_name", "size_bytes", "last_write_ticks", "sha256", "width", "height", "codec", "bit_rate_bps", "audio_sample_rate_hz")
+
+
+def to_cached(items: DataFrame) -> DataFrame:
+    """Items as cached rows: kinds as numbers, durations in ticks; signals that items have (hashes, histogram, embeddings) stay."""
+    signals = [c for c in ("orientation_hashes", "hsv_histogram", "frame_orientation_hashes", "face_embeddings", "body_embeddings") if c in items.columns]
+    return items.select("cache_key", "item_id", *_AS_THEY_ARE, F.when(F.col("kind") == "video", 1).otherwise(0).alias("kind"), (F.col("duration_s") * TICKS).cast("long").alias("duration_ticks"), *signals)
+
+
+def from_cached(cached: DataFrame) -> DataFrame:
+    """Cached rows as items again; the ids of people are not cached."""
+    return first_by_key(cached).withColumns({"kind": F.when(F.col("kind") == 1, "video").otherwise("photo"), "duration_s": F.col("duration_ticks") / TICKS}).drop("duration_ticks")
+
+
+FINGERPRINT_VERSION = 1
+
+
+def write_fingerprints(items: DataFrame, seconds: DataFrame, path: str) -> None:
+    """Append the fingerprints (video_id, sec, hash, mirror_hash, usable) of items by content key; a missing mirror hash is the plain one."""
+    keyed = items.select(F.col("item_id").alias("video_id"), fn.fingerprint_key(fn.cache_key("full_path", "size_bytes", "last_write_ticks")).alias("fingerprint_key"))
+    rows = seconds.join(keyed, "video_id").select("fingerprint_key", "sec", "hash", F.coalesce("mirror_hash", "hash").alias("mirror_hash"), "usable", F.lit(FINGERPRINT_VERSION).alias("version"))
+    rows.write.mode("append").parquet(path)
+
+
+def read_fingerprints(spark: SparkSession, items: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(seconds, missing): cached fingerprints of items in the present version, once each, and the items that need one."""
+    keyed = items.withColumn("fingerprint_key", fn.fingerprint_key(fn.cache_key("full_path", "size_bytes", "last_write_ticks")))
+    try:
+        cached = spark.read.parquet(path).where(F.col("version") == FINGERPRINT_VERSION).drop("version").dropDuplicates(["fingerprint_key", "sec"])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "video_id long, sec int, hash long, mirror_hash long, usable boolean"), items
+    seconds = keyed.select(F.col("item_id").alias("video_id"), "fingerprint_key").join(cached, "fingerprint_key").drop("fingerprint_key")
+    return seconds, keyed.join(cached.select("fingerprint_key"), "fingerprint_key", "left_anti").drop("fingerprint_key")
+
+
+def reuse_by_path(scanned: DataFrame, shown: DataFrame) -> DataFrame:
+    """Scanned rows with `reused` and `selected` of the row shown for their path before, whatever its case; the first where there are several."""
+    before = shown.groupBy(F.lower("full_path").alias("__path")).agg(F.min_by("selected", "item_id").alias("selected"))
+    rows = scanned.join(before, F.lower("full_path") == F.col("__path"), "left")
+    return rows.withColumns({"reused": F.col("__path").isNotNull(), "selected": F.coalesce("selected", F.lit(False))}).drop("__path")
