@@ -65,8 +65,8 @@ def test_like_brute_force(spark, monkeypatch, seed, short, frequent):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(j, "SHORT_LIST", short)
     monkeypatch.setattr(j, "GROUP_ROWS", 8 * short)
-    got = j.digest(frame).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute(docs), key=key)
+    for components in (j.digest(frame).select("doc_id", "n_shingles", "component_id"), j.jaccard_components(frame)):
+        assert sorted(map(tuple, components.collect()), key=key) == sorted(brute(docs), key=key)
 
 
 def test_components(spark):
@@ -106,10 +106,10 @@ def test_every_link_is_counted(spark, monkeypatch, short, frequent, group_rows):
     assert len(pairs) > 1.5 * len(set(linked))  # not just a forest
     found = [tuple(r) for r in j.link_pairs(frame).collect()]
     assert sorted(found) == sorted(pairs)
-    got = j.jaccard_links(frame).collect()
+    got = j.digest(frame).collect()
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(d, least[s], linked.count(least[s])) for s, ids in sets.items() for d in ids}
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(map(tuple, j.digest(frame).collect()))
-    assert j.jaccard_links(frame.limit(0)).count() == 0 and j.link_pairs(frame.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(map(tuple, j.jaccard_components(frame).collect()))
+    assert j.digest(frame.limit(0)).count() == 0 and j.link_pairs(frame.limit(0)).count() == 0
 
 
 def test_unlinked_rows_of_one_id_or_none_all_stay(spark):

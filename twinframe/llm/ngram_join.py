@@ -23,8 +23,9 @@ short vectors leaves the rows that may link to another component, and the produc
 rows' sets gives all their overlaps at once; of the links, those that span the block's components
 are returned, so output stays linear. No link between rows of different components stays
 unchecked, so the components are exact; only links inside a component may stay uncounted there.
+That is all that `keep_one` and `jaccard_components` need.
 
-`jaccard_links` and `link_pairs` count every link: pairs from short lists that no long list
+The join itself, `jaccard_links` and `link_pairs`, counts every link: pairs from short lists that no long list
 gathers are counted one by one, and all groups go through the block products, of which each
 pair of rows is taken in one group and one block pair only.
 
@@ -704,7 +705,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs)
+    return jaccard_links(docs)
 
 
 ORACLE_SQL = r"""
@@ -724,11 +725,6 @@ WITH RECURSIVE word AS (
 ), reach AS (
   SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b
 )
-SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
-FROM word w LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
-"""
-
-LINKS_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("SELECT w.doc_id")] + r"""
 , class AS (
   SELECT w.doc_id, least(w.doc_id, coalesce(min(other), w.doc_id)) AS class_id
   FROM word w LEFT JOIN (SELECT a AS doc_id, b AS other FROM overlap JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE k = p.n AND k = q.n UNION ALL

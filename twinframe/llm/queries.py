@@ -44,10 +44,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(read(spark, sf_dir, "documents"))
 
 
-def op8_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_links(read(spark, sf_dir, "documents"))
-
-
 def op8_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_pairs(read(spark, sf_dir, "documents"))
 
@@ -69,5 +65,4 @@ def oracle_sql() -> dict[str, str]:
         "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
-        "op8_ngram_jaccard_links": ngram_join.LINKS_SQL,
     }
