@@ -140,7 +140,7 @@ def frame(spark, rows):
 
 def aligned(spark, clip, source):
     clips, sources = frame(spark, clip), frame(spark, source)
-    found = containment.both_ways(clips, sources)
+    found = containment.Matches(clips, sources)
     inside = containment.contained(found, clips, sources).collect()
     parts = containment.segments(found, clips, sources).collect()
     return inside, parts
