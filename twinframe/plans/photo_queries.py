@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import cluster, persons, similarity, views
+from ..operators import blocks, cluster, persons, similarity, views
 from ..sources.store import written
 from .bindings import BITS, COPY_BASE, FRAMES, ORIENTATIONS, PAIRS, PHOTOS, _noise, _noise_sql, detections, framed_videos, photo_pairs, photos, table, variant_sql, with_vectors, written_photos
 from .catalog import query
@@ -92,31 +92,23 @@ def hist_correlation(spark, d):
     return with_vectors(photo_pairs(shown), shown).select("folder", "item_a", "item_b", F.round(fn.histogram_correlation("ea", "eb", LENGTH), 6).alias("correlation"))
 
 
-def _scores(shown, people=None):
-    """(folder, item_a, item_b, pct): hashes of all pairs, vectors only of pairs whose hash score lies in the histogram's band."""
-    pairs = photo_pairs(shown).withColumn("hash_pct", fn.similarity_pct("distance"))
-    low, high = fn.HISTOGRAM_BAND
-    band = (F.col("hash_pct") > low) & (F.col("hash_pct") < high)
-    inside = with_vectors(pairs.where(band), shown).withColumn("correlation", fn.histogram_correlation("ea", "eb", LENGTH)).drop("ea", "eb")
-    pairs = inside.unionByName(pairs.where(~band).withColumn("correlation", F.lit(None).cast("double")))
-    shared = None
-    if people is not None:
-        for n in ("a", "b"):
-            pairs = pairs.join(people.select("folder", F.col("item_id").alias(f"item_{n}"), F.col("person_ids").alias(f"people_{n}")), ["folder", f"item_{n}"], "left")
-        shared = persons.share_person(F.col("people_a"), F.col("people_b"))
-    score = fn.combined_similarity("same" if people is not None else F.lit(False), F.lit(True), "hash_pct", F.lit(True), "correlation", None, shared)
-    return pairs.select("folder", "item_a", "item_b", score.alias("pct"))
+def _scores(shown, people=None, least=None):
+    """(folder, item_a, item_b, pct) of all pairs, or of those that reach the least; with people the whole score."""
+    whole = people is not None
+    if whole:
+        shown = shown.join(people.select("folder", "item_id", F.col("person_ids").alias("people")), ["folder", "item_id"], "left")
+    return blocks.folder_scores(shown, lambda p: blocks.combined(p, LENGTH, whole), "pct", least)
 
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_RAISED}, 6) AS pct FROM pairs")
 def combined_similarity(spark, d):
-    return _scores(written_photos(spark, d)).withColumn("pct", F.round("pct", 6))
+    return _scores(photos(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
 @query(f"WITH RECURSIVE {PHOTOS}, {PAIRS}, {PEOPLE}, {_SCORE} SELECT folder, item_a, item_b, round(pct, 6) AS pct FROM scored")
 def combined_similarity_person(spark, d):
     """The whole score: digests, hashes, histograms, and people that both pictures show."""
-    return _scores(written_photos(spark, d), persons.resolved(detections(spark, d))).withColumn("pct", F.round("pct", 6))
+    return _scores(photos(spark, d), persons.resolved(detections(spark, d))).withColumn("pct", F.round("pct", 6))
 
 
 @query(f"WITH RECURSIVE {PHOTOS}, {PEOPLE} SELECT folder, item_id, used, person_ids[1] AS person_id FROM people")
@@ -172,7 +164,7 @@ def leaders(spark, d):
     """(ranked photos, edges with pct, placements): groups on the whole score, digests and people included."""
     shown = written_photos(spark, d)
     ranked = _ranked(shown)
-    scores = _scores(shown, persons.resolved(detections(spark, d))).where(F.col("pct") >= THRESHOLD)
+    scores = _scores(shown, persons.resolved(detections(spark, d)), THRESHOLD)
     near = _by_rank(scores, ranked, "ra", "rb").select("folder", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "pct")
     near = written(near, "near")
     return ranked, near, cluster.leader_clusters(ranked.select("folder", "rank"), near)
