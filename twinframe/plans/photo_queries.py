@@ -88,8 +88,7 @@ def cosine_pairs(spark, d):
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_CORR}, 6) AS correlation FROM pairs")
 def hist_correlation(spark, d):
-    shown = written_photos(spark, d)
-    return with_vectors(photo_pairs(shown), shown).select("folder", "item_a", "item_b", F.round(fn.histogram_correlation("ea", "eb", LENGTH), 6).alias("correlation"))
+    return blocks.folder_scores(photos(spark, d), lambda p: p.correlation(LENGTH), "correlation").withColumn("correlation", F.round("correlation", 6))
 
 
 def _scores(shown, people=None, least=None):
