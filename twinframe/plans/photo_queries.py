@@ -241,9 +241,7 @@ _THUMB = f"least(greatest(greatest({_PCT}, 0.9 * 100.0 * {_CORR}), 0.0), 100.0)"
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_THUMB}, 6) AS pct FROM pairs")
 def thumb_similarity(spark, d):
-    shown = written_photos(spark, d)
-    pairs = with_vectors(photo_pairs(shown), shown)
-    return pairs.select("folder", "item_a", "item_b", F.round(fn.thumbnail_similarity(F.lit(False), fn.similarity_pct("distance"), fn.histogram_correlation("ea", "eb", LENGTH)), 6).alias("pct"))
+    return blocks.folder_scores(photos(spark, d), lambda p: blocks.thumbnail(p, LENGTH), "pct").withColumn("pct", F.round("pct", 6))
 
 
 @query(
