@@ -254,6 +254,4 @@ def thumb_similarity(spark, d):
     ) SELECT folder, item_id, pos FROM chain"""
 )
 def thumb_nn_chain(spark, d):
-    scored = thumb_similarity(spark, d)
-    both = scored.union(scored.select("folder", "item_b", "item_a", "pct"))
-    return views.nearest_chain(both, photos(spark, d))
+    return blocks.nearest_chain(photos(spark, d), lambda p: blocks.thumbnail(p, LENGTH))
