@@ -82,8 +82,7 @@ def frame_second_best(spark, d):
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_COS}, 6) AS cosine FROM pairs")
 def cosine_pairs(spark, d):
-    shown = written_photos(spark, d)
-    return with_vectors(photo_pairs(shown), shown).select("folder", "item_a", "item_b", F.round(fn.cosine("ea", "eb"), 6).alias("cosine"))
+    return blocks.folder_scores(photos(spark, d), lambda p: p.cosine(), "cosine").withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"{WITH}, {PAIRS} SELECT folder, item_a, item_b, round({_CORR}, 6) AS correlation FROM pairs")
