@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import blocks, cluster, persons, similarity, views
+from ..operators import blocks, cluster, persons, similarity
 from ..sources.store import written
-from .bindings import BITS, COPY_BASE, FRAMES, ORIENTATIONS, PAIRS, PHOTOS, _noise, _noise_sql, detections, framed_videos, photo_pairs, photos, table, variant_sql, with_vectors, written_photos
+from .bindings import BITS, COPY_BASE, FRAMES, ORIENTATIONS, PAIRS, PHOTOS, _noise, _noise_sql, detections, framed_videos, photo_pairs, photos, table, variant_sql, written_photos
 from .catalog import query
 
 WITH = f"WITH {PHOTOS}"
@@ -230,9 +230,7 @@ def face_else_body(spark, d):
 
 @query(f"{WITH}, {PAIRS}, p AS (SELECT folder, item_a AS item, item_b AS other, plain AS distance FROM pairs UNION ALL SELECT folder, item_b, item_a, plain FROM pairs), o AS (SELECT *, row_number() OVER (PARTITION BY folder, item ORDER BY distance, other) AS k FROM p) SELECT x.folder, x.item, CAST(x.distance AS INT) AS distance, x.other FROM o x JOIN o y ON x.folder = y.folder AND x.item = y.item AND x.k = 1 AND y.k = 2 WHERE x.distance < {RATIO} * y.distance")
 def knn_ratio_test(spark, d):
-    p = photo_pairs(written_photos(spark, d)).select("folder", "item_a", "item_b", F.col("plain").alias("distance"))
-    both = p.select("folder", F.col("item_a").alias("item"), F.col("item_b").alias("other"), "distance").union(p.select("folder", "item_b", "item_a", "distance"))
-    return similarity.nearest_two(both, ["folder", "item"], "distance", "other", RATIO)
+    return similarity.nearest_two(blocks.nearest_in_blocks(photos(spark, d)), ["folder", "item"], "distance", "other", RATIO)
 
 
 _THUMB = f"least(greatest(greatest({_PCT}, 0.9 * 100.0 * {_CORR}), 0.0), 100.0)"
